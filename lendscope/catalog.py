@@ -23,7 +23,7 @@ from lendscope.sources.lending_views import LendingViews, fixed_probabilities
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-DIGITS = 6
+SCALE = "1000000D"
 # Dates of the exploratory predicates, moved into the date range of the test tables.
 RANGE_DATE = "1999-03-01"
 LATE_DATE = "2001-04-01"
@@ -45,8 +45,12 @@ def query(build: Callable[[LendingViews], DataFrame]) -> Callable[[LendingViews]
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(
-        [F.round(name, DIGITS).alias(name) if dtype == "double" else F.col(name) for name, dtype in df.dtypes]
+    """Doubles to six decimals by plain arithmetic, which is far cheaper than a decimal round."""
+    return df.selectExpr(
+        *[
+            f"floor(`{name}` * {SCALE} + 0.5D) / {SCALE} AS `{name}`" if dtype == "double" else f"`{name}`"
+            for name, dtype in df.dtypes
+        ]
     )
 
 

@@ -55,10 +55,6 @@ def variance_from_sums(n: Column, s: Column, ss: Column) -> Column:
     return F.when(n > 1, spread / (n - 1))
 
 
-def std_from_sums(n: Column, s: Column, ss: Column) -> Column:
-    return F.coalesce(F.sqrt(variance_from_sums(n, s, ss)), F.lit(0.0))
-
-
 # Statistic name to expression builder, for tables of grain × measure statistics.
 STATISTICS = {
     "max": F.max,

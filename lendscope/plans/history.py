@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.calendar import iso_weekday, month_third_flags
 from lendscope.functions.classes import clamp_days, repaid_flag
-from lendscope.operators.quantiles import grouped_median
+from lendscope.operators.quantiles import grouped_medians
 from lendscope.operators.stats import (
     adjusted_skewness,
     exact_mean,
     exact_sum,
     excess_kurtosis,
     grain_stats,
-    mean_from_sums,
-    std_from_sums,
     value_range,
 )
 
 # Amounts carry cents, so one bucket of this width has at most 65,536 distinct values.
 AMOUNT_BUCKET = 655.36
+DAY_BUCKET = 65536.0
 RATE_KEY = "decimal(12,4)"
 AMOUNT_KEY = "decimal(14,2)"
 
@@ -96,15 +95,14 @@ def user_amount_stats(first_log: DataFrame) -> DataFrame:
 def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
     """Fifteen distribution statistics per user over the given instalments.
 
-    Days have a small domain, so their median is one more aggregate; the median
-    of the amount goes through ``grouped_median``.
+    Moments are combined within map tasks; medians need the rows of a user in
+    order and are found separately, on the same partitioning by user.
     """
     base = with_repayment(log).filter(F.col("user_id").isNotNull())
     days, amount = "early_repay_days", "due_amt"
     statistics: dict[str, Column] = {
         "repay_mean": F.avg("repay"),
         "early_repay_days_max": F.max(days),
-        "early_repay_days_median": F.median(days),
         "early_repay_days_sum": F.sum(days),
         "early_repay_days_mean": F.avg(days),
         "early_repay_days_std": F.stddev_samp(days),
@@ -120,31 +118,42 @@ def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
     moments = base.groupBy("user_id").agg(
         *[column.alias(name + suffix) for name, column in statistics.items()]
     )
-    medians = grouped_median(base, "user_id", amount, "due_amt_median" + suffix, AMOUNT_BUCKET)
+    medians = grouped_medians(
+        base,
+        "user_id",
+        {
+            "early_repay_days_median" + suffix: (days, DAY_BUCKET),
+            "due_amt_median" + suffix: (amount, AMOUNT_BUCKET),
+        },
+    )
     return moments.join(medians, "user_id", "left")
 
 
 def _weighted(column: str, prefix: str) -> list[Column]:
     """Integer sum and sum of squares of a cell column, weighted by the cell's rows."""
-    x, rows = F.col(column).cast("long"), F.col("rows")
-    return [F.sum(rows * x).alias(f"{prefix}_s"), F.sum(rows * x * x).alias(f"{prefix}_ss")]
+    return [
+        F.expr(f"sum(rows * {column})").alias(f"{prefix}_s"),
+        F.expr(f"sum(rows * {column} * {column})").alias(f"{prefix}_ss"),
+    ]
 
 
-def _mean_std(prefix: str, rows: str = "rows") -> tuple[Column, Column]:
-    n = F.col(rows)
-    s, ss = F.col(f"{prefix}_s"), F.col(f"{prefix}_ss")
-    return mean_from_sums(n, s), std_from_sums(n, s, ss)
+def _mean(prefix: str, rows: str = "rows") -> str:
+    return f"{prefix}_s / {rows}"
 
 
-def _stats_struct(name: str) -> Column:
-    repay_mean, repay_std = _mean_std("repay")
-    early_mean, early_std = _mean_std("early")
-    return F.struct(
-        repay_mean.alias(f"{name}_repay_mean"),
-        repay_std.alias(f"{name}_repay_std"),
-        early_mean.alias(f"{name}_early_repay_days_mean"),
-        early_std.alias(f"{name}_early_repay_days_std"),
-    )
+def _std(prefix: str, rows: str = "rows") -> str:
+    """Sample standard deviation from exact sums, 0 for one row."""
+    spread = f"greatest({prefix}_ss - double({prefix}_s) * {prefix}_s / {rows}, 0D)"
+    return f"CASE WHEN {rows} > 1 THEN sqrt({spread} / ({rows} - 1)) ELSE 0D END"
+
+
+def _grain_map(key: str, name: str) -> Column:
+    """Map from a grain's key to its statistics, over the grain's rows of one user."""
+    return F.expr(f"""
+        map_from_entries(collect_list(CASE WHEN {key} IS NOT NULL THEN struct({key}, struct(
+            {_mean("repay")} AS {name}_repay_mean, {_std("repay")} AS {name}_repay_std,
+            {_mean("early")} AS {name}_early_repay_days_mean,
+            {_std("early")} AS {name}_early_repay_days_std)) END))""").alias(name.removeprefix("u_"))
 
 
 def user_history(rated_first_log: DataFrame) -> DataFrame:
@@ -157,97 +166,82 @@ def user_history(rated_first_log: DataFrame) -> DataFrame:
     Days, weekdays and flags are integers, so the sums behind the means and
     deviations are exact.
     """
-    measures = ["early_repay_days", "repay_weekday", "repay"]
     cells = (
         rated_first_log.filter(F.col("user_id").isNotNull())
-        .groupBy("user_id", "due_month", "due_weekday", "rate", *measures)
+        .groupBy(
+            "user_id", "due_month", "due_weekday", "rate", "early_repay_days", "repay_weekday", "repay"
+        )
         .agg(F.count(F.lit(1)).alias("rows"))
         .repartition("user_id")
     )
-    repay, early = _weighted("repay", "repay"), _weighted("early_repay_days", "early")
     rows = F.sum("rows").alias("rows")
-
-    def as_map(key: str, name: str) -> Column:
-        present = F.col(key).isNotNull()
-        return F.map_from_entries(
-            F.collect_list(F.when(present, F.struct(F.col(key), _stats_struct(name))))
-        ).alias(name.removeprefix("u_"))
-
+    repay, early = _weighted("repay", "repay"), _weighted("early_repay_days", "early")
+    weekday_known = F.expr("sum(CASE WHEN repay_weekday IS NOT NULL THEN rows END)").alias("weekday_rows")
+    sums = ["rows", "weekday_rows", *[f"{m}_{p}" for m in ("repay", "early", "weekday") for p in ("s", "ss")]]
     by_month = (
         cells.groupBy("user_id", "due_month")
         .agg(
             rows,
             *repay,
             *early,
-            *_weighted("repay_weekday", "repay_weekday"),
+            *_weighted("repay_weekday", "weekday"),
+            weekday_known,
             F.max("early_repay_days").alias("early_max"),
             F.min("early_repay_days").alias("early_min"),
-            F.sum(F.when(F.col("repay_weekday").isNotNull(), F.col("rows"))).alias("weekday_rows"),
         )
         .groupBy("user_id")
         .agg(
-            as_map("due_month", "u_dm"),
-            F.sum("rows").alias("rows"),
-            F.sum("weekday_rows").alias("weekday_rows"),
-            *[
-                F.sum(f"{measure}_{part}").alias(f"{measure}_{part}")
-                for measure in ("repay", "early", "repay_weekday")
-                for part in ("s", "ss")
-            ],
+            _grain_map("due_month", "u_dm"),
+            *[F.sum(name).alias(name) for name in sums],
             F.max("early_max").alias("u_early_repay_days_max"),
             F.min("early_min").alias("u_early_repay_days_min"),
         )
     )
-    weekday = F.col("due_weekday").cast("long")
     by_weekday = (
         cells.groupBy("user_id", "due_weekday")
         .agg(rows, *repay, *early)
         .groupBy("user_id")
         .agg(
-            as_map("due_weekday", "u_dw"),
-            F.max_by("due_weekday", F.struct("rows", -weekday)).alias("u_repay_due_weekday_mode"),
-            F.sum(F.when(weekday.isNotNull(), F.col("rows"))).alias("due_weekday_rows"),
-            F.sum(F.col("rows") * weekday).alias("due_weekday_s"),
-            F.sum(F.col("rows") * weekday * weekday).alias("due_weekday_ss"),
+            _grain_map("due_weekday", "u_dw"),
+            F.expr("max_by(due_weekday, struct(rows, -due_weekday))").alias("u_repay_due_weekday_mode"),
+            F.expr("sum(CASE WHEN due_weekday IS NOT NULL THEN rows END)").alias("due_rows"),
+            *_weighted("due_weekday", "due"),
         )
     )
     by_rate = (
-        cells.groupBy("user_id", "rate").agg(rows, *repay, *early).groupBy("user_id").agg(as_map("rate", "u_r"))
+        cells.groupBy("user_id", "rate")
+        .agg(rows, *repay, *early)
+        .groupBy("user_id")
+        .agg(_grain_map("rate", "u_r"))
     )
     by_days = (
         cells.groupBy("user_id", "early_repay_days")
         .agg(rows)
         .groupBy("user_id")
         .agg(
-            F.max_by("early_repay_days", F.struct("rows", -F.col("early_repay_days"))).alias(
+            F.expr("max_by(early_repay_days, struct(rows, -early_repay_days))").alias(
                 "u_early_repay_days_mode"
             )
         )
     )
-    joined = by_month
-    for part in (by_weekday, by_rate, by_days):
-        joined = joined.join(part, "user_id")
-    early_mean, early_std = _mean_std("early")
-    due_mean, due_std = _mean_std("due_weekday", "due_weekday_rows")
-    weekday_mean, weekday_std = _mean_std("repay_weekday", "weekday_rows")
-    repay_mean, repay_std = _mean_std("repay")
-    return joined.select(
+    joined = by_month.join(by_weekday, "user_id").join(by_rate, "user_id").join(by_days, "user_id")
+    return joined.selectExpr(
         "user_id",
-        F.col("rows").alias("freq"),
+        "rows AS freq",
+        "early_s AS early_days_sum",
+        "early_ss AS early_days_squares",
         "u_early_repay_days_max",
         "u_early_repay_days_mode",
         "u_early_repay_days_min",
-        early_mean.alias("u_early_repay_days_mean"),
-        early_std.alias("u_early_repay_days_std"),
+        f"{_mean('early')} AS u_early_repay_days_mean",
+        f"{_std('early')} AS u_early_repay_days_std",
         "u_repay_due_weekday_mode",
-        due_mean.alias("u_repay_due_weekday_mean"),
-        due_std.alias("u_repay_due_weekday_std"),
-        weekday_mean.alias("u_repay_weekday_mean"),
-        weekday_std.alias("u_repay_weekday_std"),
-        repay_mean.alias("u_repay_mean"),
-        repay_std.alias("u_repay_std"),
-        F.col("early_s").alias("early_days_sum"),
-        F.col("early_ss").alias("early_days_squares"),
+        f"{_mean('due', 'due_rows')} AS u_repay_due_weekday_mean",
+        f"{_std('due', 'due_rows')} AS u_repay_due_weekday_std",
+        f"{_mean('weekday', 'weekday_rows')} AS u_repay_weekday_mean",
+        f"{_std('weekday', 'weekday_rows')} AS u_repay_weekday_std",
+        f"{_mean('repay')} AS u_repay_mean",
+        f"{_std('repay')} AS u_repay_std",
         "dm",
         "dw",
         "r",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lendscope.sources.schemas import SCHEMAS
 
 MISSING_TEXT = "\\N"
+# Microseconds are kept; the writer's own default cuts them to milliseconds.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
@@ -45,4 +47,10 @@ def decode_missing(column: str, dtype: str, default: Column) -> Column:
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Chosen columns as CSV with a header; each task writes its own file."""
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    (
+        df.select(*columns)
+        .write.mode("overwrite")
+        .option("header", True)
+        .option("timestampNTZFormat", TIME_FORMAT)
+        .csv(path)
+    )
