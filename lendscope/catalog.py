@@ -27,9 +27,6 @@ SCALE = "1000000D"
 # Dates of the exploratory predicates, moved into the date range of the test tables.
 RANGE_DATE = "1999-03-01"
 LATE_DATE = "2001-04-01"
-# Cities the user view can contain: the unknown city and one per square modulo 37.
-CITIES = ["c0", *[f"c{r}" for r in sorted({1 + k * k % 37 for k in range(37)})]]
-PROVINCES = [f"p{i}" for i in range(5)]
 
 
 def query(build: Callable[[LendingViews], DataFrame]) -> Callable[[LendingViews], DataFrame]:
@@ -528,10 +525,7 @@ def category_one_hot(v: LendingViews) -> DataFrame:
     places = users.latest_profiles(v.user_info()).select(
         "user_id", "cell_province", "id_province", "id_city"
     )
-    wide = encoding.indicator_columns(places, "cell_province", PROVINCES)
-    wide = encoding.indicator_columns(wide, "id_province", PROVINCES)
-    wide = encoding.indicator_columns(wide, "id_city", CITIES)
-    return wide.drop("cell_province", "id_province", "id_city")
+    return encoding.one_hot(places, ["cell_province", "id_province", "id_city"])
 
 
 @query

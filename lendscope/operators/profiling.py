@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,35 +66,45 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return dense_counts(placed.select(bin_number.alias("bin")), "bin", 0, bins - 1)
 
 
+def _as_rows(columns: Sequence[str], *fields: tuple[str, Callable[[str], Column]]) -> Column:
+    """One struct per column: its name and the given fields."""
+    return F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), *[build(c).alias(name) for name, build in fields])
+            for c in columns
+        ]
+    )
+
+
 def describe_by(
     df: DataFrame, group: str, columns: Sequence[str], width: float = 65536.0
 ) -> DataFrame:
-    """Count, mean, std, min, exact quartiles and max of integer columns per group.
+    """Count, mean, std, min, exact quartiles and max of numeric columns per group.
 
-    The columns are turned into rows and counted per distinct value first, so
-    repeated values collapse before any shuffle.
+    Moments take one aggregate over the table. For the quartiles the rows are
+    counted per distinct value first, so repeated values collapse before any shuffle.
     """
-    cells = df.select(
-        group,
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-            )
-        ).alias("_cell"),
-    ).select(group, "_cell.column", "_cell.value")
+    keys = [group, "column"]
+    moments = (
+        df.groupBy(group)
+        .agg(
+            _as_rows(
+                columns,
+                ("count", F.count),
+                ("mean", F.avg),
+                ("std", F.stddev_samp),
+                ("min", lambda c: F.min(c).cast("double")),
+                ("max", lambda c: F.max(c).cast("double")),
+            ).alias("_described")
+        )
+        .select(group, F.inline("_described"))
+    )
     counts = (
-        cells.filter(F.col("value").isNotNull())
-        .groupBy(group, "column", "value")
+        df.select(group, F.inline(_as_rows(columns, ("value", lambda c: F.col(c).cast("double")))))
+        .filter(F.col("value").isNotNull())
+        .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    keys = [group, "column"]
-    moments = cells.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     quartiles = (
         quantiles_from_counts(counts, keys, "value", "_rows", QUARTILES, width)
         .groupBy(*keys)

@@ -37,7 +37,7 @@ def stratified_folds(
     )
     within = W.partitionBy(label, "_bucket").orderBy("_hash", row_id)
     return (
-        bucketed.join(starts, [label, "_bucket"])
+        bucketed.join(starts, [label, "_bucket"], "left")
         .withColumn(
             "fold", ((F.col("_start") + F.row_number().over(within) - 1) % folds).cast("int")
         )

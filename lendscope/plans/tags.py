@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.operators.ranking import latest_per_key
@@ -67,7 +68,8 @@ def word_counts(tags: DataFrame) -> DataFrame:
 def vocabulary(tags: DataFrame) -> DataFrame:
     """Words with their document frequency, within the limits at both ends."""
     documents = tags.agg(F.count(F.lit(1))).scalar()
-    frequency = word_counts(tags).groupBy("word").agg(F.count(F.lit(1)).alias("n_documents"))
+    # Counting ``n`` keeps this the same aggregate as in ``bag_of_words``, so Spark runs it once.
+    frequency = word_counts(tags).groupBy("word").agg(F.count("n").alias("n_documents"))
     return (
         frequency.withColumn("documents", documents)
         .filter(F.col("n_documents") >= MIN_DOCUMENTS)
@@ -84,13 +86,14 @@ def bag_of_words(tags: DataFrame) -> DataFrame:
 
 
 def tf_idf(tags: DataFrame) -> DataFrame:
-    """Smoothed TF-IDF per user and word, scaled to unit length per user."""
+    """Smoothed TF-IDF per user and word, scaled to unit length per user.
+
+    A user's words are at most the vocabulary, so the window per user is small.
+    """
     idf = F.log((1 + F.col("documents")) / (1 + F.col("n_documents"))) + 1
     weighted = bag_of_words(tags).withColumn("weight", F.col("n") * idf)
-    length = weighted.groupBy("user_id").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("length"))
-    return weighted.join(length, "user_id").select(
-        "user_id", "word", (F.col("weight") / F.col("length")).alias("tfidf")
-    )
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("user_id")))
+    return weighted.select("user_id", "word", (F.col("weight") / length).alias("tfidf"))
 
 
 def tag_vectors(tags: DataFrame) -> tuple[CountVectorizerModel, DataFrame]:

@@ -52,5 +52,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
         .write.mode("overwrite")
         .option("header", True)
         .option("timestampNTZFormat", TIME_FORMAT)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

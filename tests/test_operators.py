@@ -199,3 +199,10 @@ def test_codes_follow_first_appearance(spark):
 def test_value_counts_order(spark):
     df = spark.createDataFrame([(2,), (1,), (2,), (1,), (5,), (None,)], "x int")
     assert [tuple(r) for r in profiling.value_counts(df, "x").collect()] == [(1, 2), (2, 2), (5, 1)]
+
+
+def test_one_hot_finds_values_and_refuses_wide_columns(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id long, v string")
+    assert rows_of(encoding.one_hot(df, ["v"]), "id", "v_a", "v_b") == [(1, 0, 1), (2, 1, 0), (3, 0, 0)]
+    with pytest.raises(ValueError, match="more than 1"):
+        encoding.one_hot(df, ["v"], max_values=1)
