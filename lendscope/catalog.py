@@ -30,11 +30,15 @@ LATE_DATE = "2001-04-01"
 
 
 def query(build: Callable[[LendingViews], DataFrame]) -> Callable[[LendingViews], DataFrame]:
-    """Register a plan under its function's name; doubles are rounded for comparison."""
+    """Register a plan under its function's name; doubles are rounded for comparison.
+
+    The unrounded plan stays available as the registered function's ``plan``.
+    """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return rounded(build(LendingViews(spark, folder)))
 
+    run.plan = lambda spark, folder: build(LendingViews(spark, folder))
     run.__name__ = build.__name__
     run.__doc__ = build.__doc__
     QUERIES[build.__name__] = run

@@ -129,14 +129,6 @@ def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
     return moments.join(medians, "user_id", "left")
 
 
-def _weighted(column: str, prefix: str) -> list[Column]:
-    """Integer sum and sum of squares of a cell column, weighted by the cell's rows."""
-    return [
-        F.expr(f"sum(rows * {column})").alias(f"{prefix}_s"),
-        F.expr(f"sum(rows * {column} * {column})").alias(f"{prefix}_ss"),
-    ]
-
-
 def _mean(prefix: str, rows: str = "rows") -> str:
     return f"{prefix}_s / {rows}"
 
@@ -147,85 +139,80 @@ def _std(prefix: str, rows: str = "rows") -> str:
     return f"CASE WHEN {rows} > 1 THEN sqrt({spread} / ({rows} - 1)) ELSE 0D END"
 
 
-def _grain_map(key: str, name: str) -> Column:
-    """Map from a grain's key to its statistics, over the grain's rows of one user."""
+def _grain_map(grain: str, key_type: str) -> Column:
+    """Map from a grain's key to its statistics, over the cells of one user."""
     return F.expr(f"""
-        map_from_entries(collect_list(CASE WHEN {key} IS NOT NULL THEN struct({key}, struct(
-            {_mean("repay")} AS {name}_repay_mean, {_std("repay")} AS {name}_repay_std,
-            {_mean("early")} AS {name}_early_repay_days_mean,
-            {_std("early")} AS {name}_early_repay_days_std)) END))""").alias(name.removeprefix("u_"))
+        map_from_entries(collect_list(struct(CAST(key AS {key_type}), struct(
+            {_mean("repay")} AS u_{grain}_repay_mean, {_std("repay")} AS u_{grain}_repay_std,
+            {_mean("early")} AS u_{grain}_early_repay_days_mean,
+            {_std("early")} AS u_{grain}_early_repay_days_std)))
+            FILTER (WHERE grain = '{grain}' AND key IS NOT NULL))""").alias(grain)
 
 
 def user_history(rated_first_log: DataFrame) -> DataFrame:
     """All order-1 history of a user in one row, for a single join to the fact.
 
-    The log is counted once per distinct combination of small-domain columns.
-    Those cells are shuffled once by user, and every grain rolls up from them:
-    user, user × month, user × weekday and user × rate. The finer grains come
-    back as maps (``dm``, ``dw``, ``r``) from the grain's key to its statistics.
-    Days, weekdays and flags are integers, so the sums behind the means and
-    deviations are exact.
+    Each log row goes to one cell per grain: its month, weekday, rate and days
+    early. Cells are summed within map tasks before the shuffle, and a user has
+    few of them, so the second step, which turns them into maps (``dm``, ``dw``,
+    ``r``) and user totals, is small for every user. Days, weekdays and flags
+    are integers, so the sums behind the means and deviations are exact.
     """
+    grains = {"dm": "due_month", "dw": "due_weekday", "r": "rate", "days": "early_repay_days"}
+    keys = F.array(
+        *[
+            F.struct(F.lit(grain).alias("grain"), F.col(column).cast(RATE_KEY).alias("key"))
+            for grain, column in grains.items()
+        ]
+    )
     cells = (
         rated_first_log.filter(F.col("user_id").isNotNull())
-        .groupBy(
-            "user_id", "due_month", "due_weekday", "rate", "early_repay_days", "repay_weekday", "repay"
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .repartition("user_id")
-    )
-    rows = F.sum("rows").alias("rows")
-    repay, early = _weighted("repay", "repay"), _weighted("early_repay_days", "early")
-    weekday_known = F.expr("sum(CASE WHEN repay_weekday IS NOT NULL THEN rows END)").alias("weekday_rows")
-    sums = ["rows", "weekday_rows", *[f"{m}_{p}" for m in ("repay", "early", "weekday") for p in ("s", "ss")]]
-    by_month = (
-        cells.groupBy("user_id", "due_month")
-        .agg(
-            rows,
-            *repay,
-            *early,
-            *_weighted("repay_weekday", "weekday"),
-            weekday_known,
-            F.max("early_repay_days").alias("early_max"),
-            F.min("early_repay_days").alias("early_min"),
+        .selectExpr(
+            "user_id",
+            "bigint(early_repay_days) AS early",
+            "bigint(repay_weekday) AS weekday",
+            "repay",
+            "due_month",
+            "due_weekday",
+            "rate",
+            "early_repay_days",
         )
-        .groupBy("user_id")
+        .select("user_id", "early", "weekday", "repay", F.inline(keys))
+        .groupBy("user_id", "grain", "key")
         .agg(
-            _grain_map("due_month", "u_dm"),
-            *[F.sum(name).alias(name) for name in sums],
-            F.max("early_max").alias("u_early_repay_days_max"),
-            F.min("early_min").alias("u_early_repay_days_min"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count("weekday").alias("weekday_rows"),
+            F.sum("repay").alias("repay_s"),
+            F.sum("repay").alias("repay_ss"),
+            F.sum("early").alias("early_s"),
+            F.expr("sum(early * early)").alias("early_ss"),
+            F.sum("weekday").alias("weekday_s"),
+            F.expr("sum(weekday * weekday)").alias("weekday_ss"),
+            F.max("early").alias("early_max"),
+            F.min("early").alias("early_min"),
         )
     )
-    by_weekday = (
-        cells.groupBy("user_id", "due_weekday")
-        .agg(rows, *repay, *early)
-        .groupBy("user_id")
-        .agg(
-            _grain_map("due_weekday", "u_dw"),
-            F.expr("max_by(due_weekday, struct(rows, -due_weekday))").alias("u_repay_due_weekday_mode"),
-            F.expr("sum(CASE WHEN due_weekday IS NOT NULL THEN rows END)").alias("due_rows"),
-            *_weighted("due_weekday", "due"),
-        )
-    )
-    by_rate = (
-        cells.groupBy("user_id", "rate")
-        .agg(rows, *repay, *early)
-        .groupBy("user_id")
-        .agg(_grain_map("rate", "u_r"))
-    )
-    by_days = (
-        cells.groupBy("user_id", "early_repay_days")
-        .agg(rows)
-        .groupBy("user_id")
-        .agg(
-            F.expr("max_by(early_repay_days, struct(rows, -early_repay_days))").alias(
-                "u_early_repay_days_mode"
-            )
-        )
+    # Every row is in exactly one month cell, so those add up to the user's totals.
+    sums = ["rows", "weekday_rows"]
+    sums += [f"{measure}_{part}" for measure in ("repay", "early", "weekday") for part in ("s", "ss")]
+    per_user = cells.groupBy("user_id").agg(
+        _grain_map("dm", "int"),
+        _grain_map("dw", "int"),
+        _grain_map("r", RATE_KEY),
+        *[F.expr(f"sum({name}) FILTER (WHERE grain = 'dm')").alias(name) for name in sums],
+        F.max("early_max").cast("int").alias("u_early_repay_days_max"),
+        F.min("early_min").cast("int").alias("u_early_repay_days_min"),
+        *[
+            F.expr(
+                f"max_by(int(key), struct(rows, -key)) FILTER (WHERE grain = '{grain}' AND key IS NOT NULL)"
+            ).alias(name)
+            for grain, name in (("days", "u_early_repay_days_mode"), ("dw", "u_repay_due_weekday_mode"))
+        ],
+        F.expr("sum(rows) FILTER (WHERE grain = 'dw' AND key IS NOT NULL)").alias("due_rows"),
+        F.expr("sum(rows * int(key)) FILTER (WHERE grain = 'dw')").alias("due_s"),
+        F.expr("sum(rows * int(key) * int(key)) FILTER (WHERE grain = 'dw')").alias("due_ss"),
     )
-    joined = by_month.join(by_weekday, "user_id").join(by_rate, "user_id").join(by_days, "user_id")
-    return joined.selectExpr(
+    return per_user.selectExpr(
         "user_id",
         "rows AS freq",
         "early_s AS early_days_sum",
