@@ -332,6 +332,18 @@ def date_ranges(v: LendingViews) -> DataFrame:
     return out
 
 
+@query
+def weekday_counts(v: LendingViews) -> DataFrame:
+    labelled = facts.split_fact(_fact(v))[0]
+    parts = [
+        profiling.value_counts(labelled, name).select(
+            F.lit(name).alias("date"), F.col(name).alias("weekday"), "n"
+        )
+        for name in ("due_weekday", "repay_weekday")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def listing_slice(v: LendingViews) -> DataFrame:
     block = F.floor(F.col("listing_id") / 65536)
@@ -421,6 +433,11 @@ def behaviour_type_describe(v: LendingViews) -> DataFrame:
     return behaviour.describe_types(v.user_behavior_logs())
 
 
+@query
+def behaviour_describe(v: LendingViews) -> DataFrame:
+    return behaviour.describe_all(v.user_behavior_logs())
+
+
 @query
 def behaviour_hour_histogram(v: LendingViews) -> DataFrame:
     return behaviour.hour_histogram(v.user_behavior_logs())
@@ -438,8 +455,7 @@ def user_mean_hour_histogram(v: LendingViews) -> DataFrame:
 
 @query
 def user_mean_hour_describe(v: LendingViews) -> DataFrame:
-    hours = behaviour.user_mean_hours(v.user_behavior_logs()).withColumn("source", F.lit("users"))
-    return profiling.describe_by(hours, "source", ["hour_mean"], width=0.001).drop("source", "column")
+    return behaviour.describe_mean_hours(v.user_behavior_logs())
 
 
 @query
@@ -551,7 +567,7 @@ def feature_table(v: LendingViews) -> DataFrame:
 
 
 def _cross_validation(v: LendingViews) -> CrossValidation:
-    return CrossValidation.run(features.feature_table(_tables(v)))
+    return CrossValidation.run(_tables(v))
 
 
 @query

@@ -372,6 +372,7 @@ def _distribution_doubles(suffix: str) -> list[str]:
     return [f"repay_mean{suffix}", *days, *[f"due_amt_{s}{suffix}" for s in amounts]]
 
 
+_HOUR_BUCKET = "CAST(floor(round((a - a % 0.01::DOUBLE) / 0.01::DOUBLE) / 100) AS INTEGER)"
 _DESCRIBED = ["mean", "std", "min", "max", "p25", "p50", "p75"]
 _LOG_COLUMNS = {
     **{
@@ -509,6 +510,10 @@ _BODIES: dict[str, str] = {
         UNION ALL SELECT 'test_auditing', min(auditing_date), max(auditing_date) FROM test
         UNION ALL SELECT 'listing_auditing', min(auditing_date), max(auditing_date) FROM listing_info
         UNION ALL SELECT 'log_due', min(due_date), max(due_date) FROM repay_log""",
+    "weekday_counts": """
+        SELECT 'due_weekday' AS date, due_weekday AS weekday, count(*) AS n FROM fact WHERE is_train GROUP BY ALL
+        UNION ALL
+        SELECT 'repay_weekday', repay_weekday, count(*) FROM fact WHERE is_train GROUP BY ALL""",
     "listing_slice": """
         SELECT *, row_number() OVER (ORDER BY listing_id) - 1 AS position FROM listing_info
         QUALIFY position >= 1 AND position < 100000""",
@@ -545,20 +550,34 @@ _BODIES: dict[str, str] = {
     "user_mean_hours": "SELECT user_id, round(avg(hour), 6) AS hour_mean FROM behaviour GROUP BY user_id",
     "user_mean_hour_histogram": """
         WITH means AS (SELECT user_id, avg(hour) + .00501::DOUBLE AS a FROM behaviour GROUP BY user_id),
-        buckets AS (SELECT CAST(floor(round((a - a % 0.01::DOUBLE) / 0.01::DOUBLE) / 100) AS INTEGER) AS hour
-                    FROM means)
+        buckets AS (SELECT """
+    + _HOUR_BUCKET
+    + """ AS hour FROM means)
         SELECT CAST(h.i AS INTEGER) AS hour, count(b.hour) AS n
         FROM range(0, 24) h(i) LEFT JOIN buckets b ON b.hour = h.i GROUP BY h.i""",
     "user_mean_hour_describe": _round(
         "({})".format(
             _describe(
                 "source",
-                ["hour_mean"],
-                "(SELECT 'users' AS source, avg(hour) AS hour_mean FROM behaviour GROUP BY user_id)",
+                ["hour_mean", "hour_bucket"],
+                f"""(SELECT 'all' AS source, hour_mean, {_HOUR_BUCKET} AS hour_bucket
+                     FROM (SELECT avg(hour) AS hour_mean, avg(hour) + .00501::DOUBLE AS a
+                           FROM behaviour GROUP BY user_id))""",
+            )
+        ),
+        *_DESCRIBED,
+        exclude="source",
+    ),
+    "behaviour_describe": _round(
+        "({})".format(
+            _describe(
+                "source",
+                ["user_id", "behavior_type", "weekday", "month", "year", "hour"],
+                "(SELECT 'all' AS source, * FROM behaviour)",
             )
         ),
         *_DESCRIBED,
-        exclude='source, "column"',
+        exclude="source",
     ),
     "behaviour_users_per_row": """
         SELECT count(DISTINCT user_id) AS users, count(*) AS rows,

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.plans.feature_table import LendingTables, feature_table
+from lendscope.plans.feature_table import LendingTables
 from lendscope.plans.forecast import daily_forecast
 from lendscope.plans.metrics import prediction_metrics
 from lendscope.plans.model import CrossValidation, ForestSettings
@@ -22,7 +22,7 @@ def read_tables(spark: SparkSession, folder: str, fmt: str = "csv") -> LendingTa
 
 
 def cross_validate(tables: LendingTables, settings: ForestSettings | None = None) -> CrossValidation:
-    return CrossValidation.run(feature_table(tables), settings)
+    return CrossValidation.run(tables, settings)
 
 
 def forecast(

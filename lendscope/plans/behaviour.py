@@ -44,6 +44,21 @@ def describe_types(log: DataFrame) -> DataFrame:
     return describe_by(with_time_parts(log), "behavior_type", ["weekday", "month", "year", "hour"])
 
 
+def describe_all(log: DataFrame) -> DataFrame:
+    """Description of the numeric columns over the whole log."""
+    whole = with_time_parts(log).withColumn("rows_of", F.lit("all"))
+    columns = ["user_id", "behavior_type", "weekday", "month", "year", "hour"]
+    return describe_by(whole, "rows_of", columns).drop("rows_of")
+
+
+def describe_mean_hours(log: DataFrame) -> DataFrame:
+    """Description of the users' mean hours and of their whole-hour buckets."""
+    hours = user_mean_hours(log).select(
+        F.lit("all").alias("rows_of"), "hour_mean", hour_bucket(F.col("hour_mean")).alias("hour_bucket")
+    )
+    return describe_by(hours, "rows_of", ["hour_mean", "hour_bucket"], width=0.001).drop("rows_of")
+
+
 def hour_histogram(log: DataFrame) -> DataFrame:
     """Rows per hour of the day."""
     return dense_counts(with_time_parts(log), "hour", 0, 23)

@@ -16,8 +16,8 @@ def features(views):
 
 
 @pytest.fixture(scope="module")
-def validation(features):
-    return CrossValidation.run(features, ForestSettings(trees=3, depth=3))
+def validation(views):
+    return CrossValidation.run(_tables(views), ForestSettings(trees=3, depth=3))
 
 
 def test_entry_runs(spark):
