@@ -23,20 +23,34 @@ from lendscope.sources.lending_views import LendingViews, fixed_probabilities
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SCALE = "1000000D"
 # Dates of the exploratory predicates, moved into the date range of the test tables.
 RANGE_DATE = "1999-03-01"
 LATE_DATE = "2001-04-01"
 
 
+# Integer features that are missing on test rows or for users without history.
+NULLABLE_FEATURES = [
+    "label",
+    "repay_weekday",
+    "freq",
+    "most_freq",
+    "median_freq",
+    "lower_freq",
+    "u_early_repay_days_max",
+    "u_early_repay_days_mode",
+    "u_early_repay_days_min",
+    "u_repay_due_weekday_mode",
+]
+
+
 def query(build: Callable[[LendingViews], DataFrame]) -> Callable[[LendingViews], DataFrame]:
-    """Register a plan under its function's name; doubles are rounded for comparison.
+    """Register a plan under its function's name, its columns made comparable.
 
-    The unrounded plan stays available as the registered function's ``plan``.
+    The plan itself stays available as the registered function's ``plan``.
     """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(build(LendingViews(spark, folder)))
+        return comparable(build(LendingViews(spark, folder)))
 
     run.plan = lambda spark, folder: build(LendingViews(spark, folder))
     run.__name__ = build.__name__
@@ -45,14 +59,23 @@ def query(build: Callable[[LendingViews], DataFrame]) -> Callable[[LendingViews]
     return build
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals by plain arithmetic, which is far cheaper than a decimal round."""
-    return df.selectExpr(
-        *[
-            f"floor(`{name}` * {SCALE} + 0.5D) / {SCALE} AS `{name}`" if dtype == "double" else f"`{name}`"
-            for name, dtype in df.dtypes
-        ]
-    )
+# How a column is shown for comparison between engines, by Spark type. Doubles are
+# rounded by plain arithmetic, which is far cheaper than a decimal round.
+COMPARABLE = {
+    "double": "floor({0} * 1000000D + 0.5D) / 1000000D AS {0}",
+    "date": "CAST({0} AS string) AS {0}",
+    "timestamp_ntz": "date_format({0}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {0}",
+}
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, dates and times as text."""
+    return df.selectExpr(*[COMPARABLE.get(dtype, "{0}").format(f"`{name}`") for name, dtype in df.dtypes])
+
+
+def shown_as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Integer columns with missing values as doubles, which every client reads alike."""
+    return df.withColumns({name: F.col(name).cast("double") for name in columns})
 
 
 def _fact(v: LendingViews) -> DataFrame:
@@ -115,7 +138,7 @@ def label_count_histogram(v: LendingViews) -> DataFrame:
 
 @query
 def train_test_union(v: LendingViews) -> DataFrame:
-    return _fact(v)
+    return shown_as_double(_fact(v), "label", "repay_weekday")
 
 
 @query
@@ -127,7 +150,7 @@ def train_test_split_counts(v: LendingViews) -> DataFrame:
 
 @query
 def calendar_parts(v: LendingViews) -> DataFrame:
-    return _fact(v).select(
+    return shown_as_double(_fact(v), "repay_weekday").select(
         "listing_id",
         "due_weekday",
         "repay_weekday",
@@ -394,7 +417,8 @@ def tier_amount_stats_fixed(v: LendingViews) -> DataFrame:
 
 @query
 def tier_feature_on_fact(v: LendingViews) -> DataFrame:
-    return tiers.tier_on_fact(_fact(v), tiers.user_tier_features(_tiered(v))).select(
+    joined = tiers.tier_on_fact(_fact(v), tiers.user_tier_features(_tiered(v)))
+    return shown_as_double(joined, "freq", "most_freq", "median_freq", "lower_freq").select(
         "listing_id",
         "freq",
         "most_freq",
@@ -563,7 +587,7 @@ def fold_label_balance(v: LendingViews) -> DataFrame:
 
 @query
 def feature_table(v: LendingViews) -> DataFrame:
-    return features.feature_table(_tables(v))
+    return shown_as_double(features.feature_table(_tables(v)), *NULLABLE_FEATURES)
 
 
 def _cross_validation(v: LendingViews) -> CrossValidation:

@@ -583,9 +583,9 @@ _BODIES: dict[str, str] = {
         SELECT count(DISTINCT user_id) AS users, count(*) AS rows,
                round(count(DISTINCT user_id) / CAST(count(*) AS DOUBLE), 6) AS users_per_row FROM behaviour""",
     "log_slice": """
-        SELECT user_id, behavior_time, behavior_type,
-               row_number() OVER (ORDER BY behavior_time, user_id, behavior_type) - 1 AS position
-        FROM behaviour QUALIFY position >= 100 AND position < 40100""",
+        SELECT user_id, strftime(behavior_time, '%Y-%m-%d %H:%M:%S.%f') AS behavior_time, behavior_type,
+               row_number() OVER (ORDER BY b.behavior_time, user_id, behavior_type) - 1 AS position
+        FROM behaviour b QUALIFY position >= 100 AND position < 40100""",
     "tag_frequency": "SELECT * FROM tag_counts",
     "tag_top150": "SELECT * FROM tag_counts ORDER BY n DESC, tag LIMIT 150",
     "important_tags": "SELECT * FROM tag_counts WHERE share > 0.3 AND share < 0.8",
@@ -627,4 +627,41 @@ _BODIES: dict[str, str] = {
         WHERE g.audit_month BETWEEN 2 AND 4""",
 }
 
+# Dates and times are shown as text and integers with missing values as doubles, as in the catalog.
+_DOUBLE_COLUMNS = {
+    "train_test_union": ["label", "repay_weekday"],
+    "calendar_parts": ["repay_weekday"],
+    "tier_feature_on_fact": ["freq", "most_freq", "median_freq", "lower_freq"],
+    "feature_table": [
+        "label",
+        "repay_weekday",
+        "freq",
+        "most_freq",
+        "median_freq",
+        "lower_freq",
+        "u_early_repay_days_max",
+        "u_early_repay_days_mode",
+        "u_early_repay_days_min",
+        "u_repay_due_weekday_mode",
+    ],
+}
+_TEXT_COLUMNS = {
+    "label_days_early": ["repay_date"],
+    "train_test_union": ["auditing_date", "due_date", "repay_date"],
+    "user_latest": ["reg_mon", "insertdate"],
+    "user_profile_features": ["reg_mon", "info_insert_date"],
+    "repay_log_after_date": ["due_date", "repay_date"],
+    "repay_log_late_repaid": ["due_date", "repay_date"],
+    "repay_log_never_repaid": ["due_date", "repay_date"],
+    "date_ranges": ["first_date", "last_date"],
+    "listing_slice": ["auditing_date"],
+    "test_due_date": ["auditing_date", "due_date"],
+    "submission_calendar": ["repay_date"],
+    "daily_forecast": ["repay_date"],
+}
+for _type, _listed in (("VARCHAR", _TEXT_COLUMNS), ("DOUBLE", _DOUBLE_COLUMNS)):
+    for _name, _columns in _listed.items():
+        _shown = ", ".join(f"CAST({c} AS {_type}) AS {c}" for c in _columns)
+        _BODIES[_name] = f"SELECT * REPLACE ({_shown}) FROM ({_BODIES[_name]})"
+
 ORACLE: dict[str, str] = {name: _sql(body) for name, body in _BODIES.items()}

@@ -41,7 +41,7 @@ def _kind(dtype: str) -> str:
 def _plain(value):
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
-    return value + 0.0 if isinstance(value, float) else value
+    return value
 
 
 def _rows(table) -> list[tuple]:
