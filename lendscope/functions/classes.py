@@ -12,6 +12,7 @@ PRINCIPAL_BOUNDS = ((1170, 6), (2260, 5), (3350, 4), (3910, 3), (5540, 2))
 # Upper bounds of the loan count and the class at or below each bound.
 LOAN_COUNT_BOUNDS = ((1, 1), (2, 2), (4, 3), (8, 4))
 UNKNOWN_CITY = "c0"
+# Fixed value: the repayment date that marks an unpaid instalment.
 UNPAID_DATE = "2200-01-01"
 
 

@@ -139,8 +139,3 @@ def column_profile(df: DataFrame) -> DataFrame:
 def columns_of_type(df: DataFrame, *types: str) -> list[str]:
     """Names of the columns with one of the given Spark types."""
     return [name for name, dtype in df.dtypes if dtype in types]
-
-
-def ratio(part: Column, whole: Column) -> Column:
-    """Quotient, 0 where the whole is 0."""
-    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
