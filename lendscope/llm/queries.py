@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import decontaminate, line_chunks, pack, rule_classifier
+from lendscope.llm import decontaminate, jaccard_join, line_chunks, pack, rule_classifier
 from lendscope.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, folder))
+
+
 def op6_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.dedup_lines(documents(spark, folder))
 
@@ -35,5 +39,5 @@ def op10_rule_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
+    for f in (op3_jaccard_join, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
 }
