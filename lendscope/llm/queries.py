@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import decontaminate, jaccard_join, line_chunks, pack, rule_classifier
+from lendscope.llm import decontaminate, jaccard_join, license_scan, line_chunks, pack, rule_classifier, secret_ledger
 from lendscope.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,15 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    findings, _ = secret_ledger.scan(documents(spark, folder))
+    return secret_ledger.report(findings)
+
+
+def op2_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(documents(spark, folder))
+
+
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, folder))
 
@@ -39,5 +48,5 @@ def op10_rule_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_jaccard_join, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
+    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
 }
