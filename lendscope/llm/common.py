@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,48 @@ def text_runs(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000
             yield {k: v[start:] for k, v in rows.items()}
 
 
+#: Counters travel in compressed slices of so many.
+SLICE = 1 << 12
+
+
+def sum_counters(df: DataFrame, tally: Callable, size: int) -> np.ndarray:
+    """``size`` counters summed over all tasks; ``tally(batches, counters)`` adds one task's counts.
+
+    Tasks send their counters in slices, which other tasks sum, so the driver gets ``size`` numbers.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        total = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+        tally(batches, total[:size])
+        rows = [zstandard.compress(b.tobytes()) for b in total.reshape(-1, SLICE)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(rows, pa.binary())], names=["slice", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, block in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist()):
+                block = np.frombuffer(zstandard.decompress(block), np.int64)
+                total[at] = total[at] + block if at in total else block
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([zstandard.compress(b.tobytes()) for b in total.values()], pa.binary())],
+            names=["slice", "counts"],
+        )
+
+    import zstandard
+
+    ddl = "slice int, counts binary"
+    out = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+    for r in arrow_map(arrow_map(df, count, ddl).repartition("slice"), add, ddl).collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
+    return out[:size]
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lendscope.llm.common import arrow_map, components, small_side, stored, text_runs
+from lendscope.llm.common import arrow_map, components, small_side, stored, sum_counters, text_runs
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN links.
 NUM, DEN = 80, 100
-COUNTERS, SLICE = 1 << 20, 1 << 12
+COUNTERS = 1 << 20
 STAR_ROUNDS = 2
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -67,38 +67,12 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences over all documents by counter, ``COUNTERS`` numbers whatever the corpus."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    def tally(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for rows in text_runs(batches, "text"):
             found = np.concatenate([np.empty(0, np.uint64), *shingle_sets(rows["text"])])
             total += np.bincount((found % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield from packed(total)
 
-    def packed(total: np.ndarray):
-        import zstandard
-
-        blocks = total.reshape(-1, SLICE)
-        rows = [zstandard.compress(b.tobytes()) for b in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(rows, pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, block in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist()):
-                block = np.frombuffer(zstandard.decompress(block), np.int64)
-                total[at] = total[at] + block if at in total else block
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["slice", "counts"]
-        )
-
-    ddl = "slice int, counts binary"
-    blocks = arrow_map(arrow_map(docs.select("text"), count, ddl).repartition("slice"), add, ddl).collect()
-    out = np.zeros(COUNTERS, np.int64)
-    for r in blocks:
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    return out
+    return sum_counters(docs.select("text"), tally, COUNTERS)
 
 
 def prefix_length(n: int) -> int:

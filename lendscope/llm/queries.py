@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import decontaminate, jaccard_join, license_scan, line_chunks, pack, rule_classifier, secret_ledger
+from lendscope.llm import class_model, decontaminate, jaccard_join, lattice, license_scan, line_chunks, pack, rule_classifier, secret_ledger
 from lendscope.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,14 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, folder))
 
 
+def op4_lattice_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op5_class_model(spark: SparkSession, folder: str) -> DataFrame:
+    return class_model.score(documents(spark, folder))
+
+
 def op6_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.dedup_lines(documents(spark, folder))
 
@@ -48,5 +56,5 @@ def op10_rule_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
+    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op4_lattice_hashing, op5_class_model, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
 }
