@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lendscope.llm.common import arrow_map, keyed, stored, text_runs
+from lendscope.llm.common import arrow_map, keyed, small_side, stored, text_runs
 
 WINDOW = 8
 MIN_LITERALS = 5
@@ -233,7 +233,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", i
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", keep=()) -> DataFrame:
     """Per row ``doc_id``, ``n_leaks``, ``n_items``, ``reworded``, ``items`` (sorted ids, comma-joined), then ``keep``."""
-    found = (
+    found = stored(
         leaks(docs, items, id_col, text_col, item_id, item_text)
         .groupBy(F.col("_id").alias("_leak_id"), F.col("_fp").alias("_leak_fp"))
         .agg(
@@ -245,7 +245,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     )
     rows = keyed(docs, id_col, text_col, *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = rows.drop("_text")
-    joined = rows.join(found, rows._id.eqNullSafe(found._leak_id) & (rows._fp == found._leak_fp), "left")
+    joined = rows.join(small_side(found, 5 * found.count()), rows._id.eqNullSafe(found._leak_id) & (rows._fp == found._leak_fp), "left")
     return joined.select(
         F.col("_id").alias("doc_id"),
         F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"),

@@ -180,6 +180,16 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     return stored(arrow_map(joined, compare, "a long, b long"))
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """``head``, ``label``: a connected node with a smaller number, where there is one; two hops at most.
+
+    Equal labels prove a connection, different ones prove nothing.
+    """
+    to = stored(edges.groupBy(F.greatest("a", "b").alias("head")).agg(F.min(F.least("a", "b")).alias("label")))
+    onward = to.select(F.col("head").alias("label"), F.col("label").alias("next"))
+    return stored(to.join(onward, "label", "left").select("head", F.coalesce("next", "label").alias("label")))
+
+
 def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
     """Links found by comparing with leaders, and what the complete round needs."""
     full = profile.where("node is not null")
@@ -202,7 +212,7 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
         if k == 0:
             labelled = rows.withColumn("label", F.col("head"))
         else:
-            at = stored(components(found).select(F.col("id").alias("head"), "label"))
+            at = near_labels(found)
             labelled = rows.join(at, "head", "left").withColumn("label", F.coalesce("label", "head"))
             # A bucket whose groups are connected already has nothing left to try.
             mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
@@ -220,9 +230,8 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
     return found, rows, group, nodes, owners
 
 
-def rest_edges(docs, found, rows, group, nodes, owners) -> DataFrame:
-    """The complete round: all pairs of groups with a common prefix shingle, where not yet connected."""
-    at = stored(components(found).select(F.col("id").alias("node"), "label"))
+def rest_edges(docs, at, rows, group, nodes, owners) -> DataFrame:
+    """The complete round: all pairs of groups with a common prefix shingle, where not yet connected (``at``)."""
     member = stored(group.join(at, "node", "left").withColumn("label", F.coalesce("label", "node")))
     # A group's label, or null where its members are not all connected.
     one = member.groupBy("head").agg(F.min("label").alias("x"), F.max("label").alias("y"))
@@ -256,9 +265,18 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profile = stored(profiles(docs))
     found, rows, group, nodes, owners = star_edges(docs, profile)
-    edges = found.union(rest_edges(docs, found, rows, group, nodes, owners))
-    at = components(edges)
-    node = owners.join(at, owners.node == at.id, "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    at = components(found).withColumnRenamed("id", "node")
+    rest = rest_edges(docs, at, rows, group, nodes, owners)
+    # The last links connect components: contract them to labels.
+    label = lambda x: F.coalesce(f"label_{x}", x).alias(x)
+    of_a, of_b = (at.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    last = components(rest.join(of_a, "a", "left").join(of_b, "b", "left").select(label("a"), label("b")))
+    node = (
+        owners.join(at, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+        .join(last.select(F.col("id").alias("label"), F.col("label").alias("last")), "label", "left")
+        .select("node", "doc_id", F.coalesce("last", "label").alias("label"))
+    )
     smallest = node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = node.join(smallest, "label").select("node", "component_id")
     return profile.join(ids, "node", "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import class_model, decontaminate, jaccard_join, lattice, license_scan, line_chunks, pack, rule_classifier, secret_ledger
+from lendscope.llm import class_model, decontaminate, jaccard_join, lattice, license_scan, line_chunks, pack, rule_classifier, run_index, secret_ledger
 from lendscope.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op8_run_index(spark: SparkSession, folder: str) -> DataFrame:
+    return run_index.dedup(documents(spark, folder))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(documents(spark, folder), vocabulary_path())
 
@@ -56,5 +60,5 @@ def op10_rule_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op4_lattice_hashing, op5_class_model, op6_line_chunks, op7_decontamination, op9_packing, op10_rule_classifier)
+    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op4_lattice_hashing, op5_class_model, op6_line_chunks, op7_decontamination, op8_run_index, op9_packing, op10_rule_classifier)
 }
