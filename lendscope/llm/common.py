@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most so many narrow rows may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch sent to Python.
+BATCH_BYTES = "8m"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,7 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package shipped to the executors first."""
+    """``mapInArrow``, with this package shipped to the executors first.
+
+    Batches are kept small: a Python worker holds several copies of one, beside the executor's heap.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = df.sparkSession.sparkContext
     if not getattr(sc, "_lendscope_shipped", False):
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -56,18 +64,20 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[dict[str, list]]:
-    """Rows of Arrow batches as lists by column, in runs of about ``chars`` characters of ``column``."""
+def text_runs(batches: Iterator[pa.RecordBatch], column: str, size: int = 1_000_000) -> Iterator[dict[str, list]]:
+    """Rows of Arrow batches as lists by column, in runs of about ``size`` bytes of ``column``.
+
+    Only one run at a time exists as Python objects.
+    """
     for batch in batches:
-        rows = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        start = size = 0
-        for i, text in enumerate(rows[column]):
-            size += len(text)
-            if size >= chars:
-                yield {k: v[start : i + 1] for k, v in rows.items()}
-                start, size = i + 1, 0
-        if start < len(rows[column]):
-            yield {k: v[start:] for k, v in rows.items()}
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = (np.cumsum(lengths) - lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            part = batch.slice(start, end - start)
+            yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
 #: Counters travel in compressed slices of so many.

@@ -35,7 +35,7 @@ MIN_LITERALS = 5
 MIN_COVER = 0.5
 LONG_RUN = 13
 BLOOM_BITS = 1 << 24
-CACHE = 400_000
+CACHE = 300_000
 
 #: Units that follow a number.
 UNITS = set(

@@ -31,7 +31,7 @@ TIERS = (512, 1024, 2048, 4096)
 SMALLEST = 64
 END_ID = 2
 STEP_TOKENS = 1 << 18
-CACHE = 700_000
+CACHE = 400_000
 
 SIMPLE = re.compile("[\n -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
