@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -538,17 +536,10 @@ def tag_tfidf(v: LendingViews) -> DataFrame:
 
 @query
 def tag_feature_vectors(v: LendingViews) -> DataFrame:
-    """Dense user statistics next to the sparse tag counts."""
-    _, vectors = tags.tag_vectors(tags.latest_tags(v.user_taglist()))
-    stats = listings.user_loan_stats(v.listing_info()).select("user_id", "mean_principal", "std_principal")
-    assembler = VectorAssembler(
-        inputCols=["mean_principal", "std_principal", "tag_counts"], outputCol="features"
-    )
-    dense = vector_to_array("features")
-    return assembler.transform(stats.join(vectors, "user_id")).select(
-        "user_id",
-        F.size(dense).alias("n_features"),
-        F.aggregate(dense, F.lit(0.0), lambda total, x: total + x).alias("feature_sum"),
+    """Dense user statistics next to the sparse tag counts, as coordinates."""
+    stats = listings.user_loan_stats(v.listing_info())
+    return tags.feature_coordinates(
+        stats, ["mean_principal", "std_principal"], tags.latest_tags(v.user_taglist())
     )
 
 
@@ -569,7 +560,7 @@ def category_one_hot(v: LendingViews) -> DataFrame:
     places = users.latest_profiles(v.user_info()).select(
         "user_id", "cell_province", "id_province", "id_city"
     )
-    return encoding.one_hot(places, ["cell_province", "id_province", "id_city"])
+    return encoding.indicator_rows(places, "user_id", ["cell_province", "id_province", "id_city"])
 
 
 @query

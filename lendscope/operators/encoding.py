@@ -35,21 +35,13 @@ def with_codes(df: DataFrame, columns: Sequence[str], order: Column, row_id: str
     return out
 
 
-def category_values(df: DataFrame, column: str, max_values: int = 1000) -> list[str]:
-    """Sorted distinct values of a category; refuses a column with more than ``max_values``."""
-    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    found = [row[0] for row in distinct.limit(max_values + 1).collect()]
-    if len(found) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values; use codes instead of indicators")
-    return sorted(found)
+def indicator_rows(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
+    """Indicators in long form: ``row_id``, ``category`` (column), ``value``, and 1 where a row holds a value.
 
-
-def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 1000) -> DataFrame:
-    """Replace each category by 0/1 columns, one per value found in the table."""
-    out = df
-    for column in columns:
-        out = indicator_columns(out, column, category_values(df, column, max_values))
-    return out.drop(*columns)
+    A column may have any number of values; all other indicators of a row are 0.
+    """
+    held = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(row_id, F.inline(held)).filter("value IS NOT NULL").withColumn("indicator", F.lit(1))
 
 
 def indicator_columns(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

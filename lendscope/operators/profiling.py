@@ -115,7 +115,9 @@ def describe_by(
             ]
         )
     )
-    return moments.join(quartiles, keys, "left")
+    found = quartiles.withColumnsRenamed({k: f"{k}_found" for k in keys})
+    same = F.col(group).eqNullSafe(F.col(f"{group}_found")) & (F.col("column") == F.col("column_found"))
+    return moments.join(found, same, "left").drop(*[f"{k}_found" for k in keys])
 
 
 def column_profile(df: DataFrame) -> DataFrame:

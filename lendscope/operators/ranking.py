@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -69,7 +71,10 @@ def positional_slice(
             .filter((F.col("_begin") < stop) & (F.col("_begin") + F.col("_rows") > start))
             .select(*levels, F.col("_begin").alias("_start"))
         )
-        kept = kept.drop("_start").join(touched, levels)
+        # Null is a bucket like any other.
+        found = touched.select(*[F.col(c).alias(f"{c}_found") for c in levels], "_start")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_found")) for c in levels])
+        kept = kept.drop("_start").join(found, same).drop(*[f"{c}_found" for c in levels])
     number = F.row_number().over(W.partitionBy(*levels).orderBy(*order))
     return (
         kept.withColumn("position", F.col("_start") + number - 1)

@@ -19,21 +19,6 @@ def mode_lowest(column: str) -> Column:
     return F.mode(column, deterministic=True)
 
 
-def exact_sum(column: str) -> Column:
-    """Sum of a money column to a hundredth of a cent, the same in any row order.
-
-    Whole units and the rest are summed as integers, so no task order can
-    change the last digits and no row needs decimal arithmetic.
-    """
-    whole = F.floor(column)
-    rest = F.floor((F.col(column) - whole) * 10000.0 + 0.5)
-    return (F.sum(whole).cast("double") * 10000.0 + F.sum(rest)) / 10000.0
-
-
-def exact_mean(column: str) -> Column:
-    return F.try_divide(exact_sum(column), F.count(column))
-
-
 def value_range(column: str) -> Column:
     return F.max(column) - F.min(column)
 

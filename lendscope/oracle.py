@@ -76,8 +76,8 @@ VIEWS: dict[str, str] = {
                CAST(year(behavior_time) AS INTEGER) AS year,
                CAST(hour(behavior_time) AS INTEGER) AS hour
         FROM (SELECT user_id, ts AS behavior_time,
-                     CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2
-                                     WHEN 'purchase' THEN 3 ELSE 0 END AS behavior_type
+                     CASE WHEN event_type IN ('click', 'signup') THEN 1 WHEN event_type = 'view' THEN 2
+                          WHEN event_type IN ('purchase', 'error') THEN 3 END AS behavior_type
               FROM events)""",
     "decoded": r"""
         SELECT listing_id, user_id, auditing_date, due_date, due_amt,
@@ -192,8 +192,8 @@ def _distribution(source: str, suffix: str) -> str:
                stddev_samp(early) AS early_repay_days_std{suffix},
                max(due_amt) AS due_amt_max{suffix}, min(due_amt) AS due_amt_min{suffix},
                median(due_amt) AS due_amt_median{suffix},
-               CAST(sum(CAST(due_amt AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS due_amt_mean{suffix},
-               CAST(sum(CAST(due_amt AS DECIMAL(18, 4))) AS DOUBLE) AS due_amt_sum{suffix}, stddev_samp(due_amt) AS due_amt_std{suffix},
+               avg(due_amt) AS due_amt_mean{suffix},
+               sum(due_amt) AS due_amt_sum{suffix}, stddev_samp(due_amt) AS due_amt_std{suffix},
                CASE WHEN count(*) < 3 THEN NULL WHEN max(due_amt) = min(due_amt) THEN 0
                     ELSE skewness(due_amt) END AS due_amt_skew{suffix},
                CASE WHEN max(due_amt) = min(due_amt) THEN -3
@@ -271,7 +271,7 @@ VIEWS |= {
         FROM (SELECT unnest(string_split(taglist, '|')) AS tag FROM user_taglist) GROUP BY tag""",
     "words": r"""
         SELECT user_id, word, count(*) AS n
-        FROM (SELECT user_id, unnest(regexp_extract_all(lower(taglist), '\b\w\w+\b')) AS word
+        FROM (SELECT user_id, unnest(regexp_extract_all(lower(taglist), '[\p{L}\p{N}_]{2,}')) AS word
               FROM user_taglist) GROUP BY user_id, word""",
     "bag": """
         SELECT w.user_id, w.word, w.n, d.n_documents
@@ -316,15 +316,6 @@ VIEWS |= {
 _PROBABILITIES = ", ".join(f"round(w[{i + 1}] / total, 6) AS prob_{i}" for i in range(33))
 _PROVINCES = [f"p{i}" for i in range(5)]
 _CITIES = ["c0", *[f"c{r}" for r in sorted({1 + k * k % 37 for k in range(37)})]]
-_ONE_HOT = ", ".join(
-    f"CASE WHEN {column} = '{value}' THEN 1 ELSE 0 END AS {column}_{value}"
-    for column, values in (
-        ("cell_province", _PROVINCES),
-        ("id_province", _PROVINCES),
-        ("id_city", _CITIES),
-    )
-    for value in values
-)
 
 
 def _parts(column: str, alias: str | None = None, year: bool = False, day: bool = False) -> str:
@@ -597,6 +588,16 @@ _BODIES: dict[str, str] = {
     "tag_tfidf": """
         SELECT user_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY user_id)), 6) AS tfidf
         FROM weighted_words""",
+    "tag_feature_vectors": """
+        SELECT user_id, CAST(0 AS BIGINT) AS position, round(mean_principal, 6) AS value FROM loan_stats
+        UNION ALL
+        SELECT user_id, CAST(1 AS BIGINT), round(std_principal, 6) FROM loan_stats
+        UNION ALL
+        SELECT b.user_id, 2 + p.place, CAST(b.n AS DOUBLE)
+        FROM bag b
+        JOIN (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS place
+              FROM (SELECT DISTINCT word FROM bag)) p ON p.word = b.word
+        JOIN loan_stats s ON s.user_id = b.user_id""",
     "category_codes": """
         SELECT user_id, cell_province, id_province, id_city,
                CAST(dense_rank() OVER (ORDER BY cell_first) - 1 AS INTEGER) AS cell_province_code,
@@ -605,7 +606,10 @@ _BODIES: dict[str, str] = {
         FROM (SELECT *, min(user_id) OVER (PARTITION BY cell_province) AS cell_first,
                      min(user_id) OVER (PARTITION BY id_province) AS id_first,
                      min(user_id) OVER (PARTITION BY id_city) AS city_first FROM profiles)""",
-    "category_one_hot": f"SELECT user_id, {_ONE_HOT} FROM profiles",
+    "category_one_hot": """
+        SELECT user_id, category, value, CAST(1 AS INTEGER) AS indicator
+        FROM (UNPIVOT (SELECT user_id, cell_province, id_province, id_city FROM profiles)
+              ON cell_province, id_province, id_city INTO NAME category VALUE value)""",
     "stratified_folds": "SELECT listing_id, label, fold FROM folded",
     "fold_label_balance": "SELECT label, fold, count(*) AS n FROM folded GROUP BY label, fold",
     "feature_table": _FEATURES,
@@ -623,8 +627,7 @@ _BODIES: dict[str, str] = {
     "daily_forecast": """
         SELECT g.listing_id, g.repay_date,
                round(p.due_amt * p.w[date_diff('day', g.repay_date, g.due_date) + 1] / p.total, 6) AS repay_amt
-        FROM calendar_grid g JOIN test_probabilities p ON g.listing_id = p.listing_id
-        WHERE g.audit_month BETWEEN 2 AND 4""",
+        FROM calendar_grid g JOIN test_probabilities p ON g.listing_id = p.listing_id""",
 }
 
 # Dates and times are shown as text and integers with missing values as doubles, as in the catalog.

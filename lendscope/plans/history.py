@@ -10,8 +10,6 @@ from lendscope.functions.classes import clamp_days, repaid_flag
 from lendscope.operators.quantiles import grouped_medians
 from lendscope.operators.stats import (
     adjusted_skewness,
-    exact_mean,
-    exact_sum,
     excess_kurtosis,
     grain_stats,
     value_range,
@@ -108,8 +106,8 @@ def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
         "early_repay_days_std": F.stddev_samp(days),
         "due_amt_max": F.max(amount),
         "due_amt_min": F.min(amount),
-        "due_amt_mean": exact_mean(amount),
-        "due_amt_sum": exact_sum(amount),
+        "due_amt_mean": F.avg(amount),
+        "due_amt_sum": F.sum(amount),
         "due_amt_std": F.stddev_samp(amount),
         "due_amt_skew": adjusted_skewness(amount),
         "due_amt_kurt": excess_kurtosis(amount),

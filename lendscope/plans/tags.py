@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.operators.ranking import latest_per_key
-from lendscope.operators.skew import hot_by_count, left_join_spread
 
 # Document-frequency limits of the text features.
 MIN_DOCUMENTS = 10
 MAX_DOCUMENT_SHARE = 0.9
 # Band of the important tags, both ends open.
 IMPORTANT_LOW, IMPORTANT_HIGH = 0.3, 0.8
-# Words of two or more letters, digits or underscores.
-WORD_PATTERN = r"\b\w\w+\b"
+# Words of two or more letters, digits or underscores of any script.
+WORD_PATTERN = r"(?U)\b\w\w+\b"
 
 
 def latest_tags(user_taglist: DataFrame) -> DataFrame:
@@ -78,11 +76,11 @@ def vocabulary(tags: DataFrame) -> DataFrame:
 
 
 def bag_of_words(tags: DataFrame) -> DataFrame:
-    """Counts of the vocabulary's words per user. A word may occur for most users."""
-    kept = vocabulary(tags).withColumn("_kept", F.lit(True))
-    hot = hot_by_count(kept, "word", "n_documents")
-    counted = left_join_spread(word_counts(tags), kept, "word", "user_id", hot=hot)
-    return counted.filter("_kept").drop("_kept")
+    """Counts of the vocabulary's words per user.
+
+    A word may occur for most users: an inner join, so that Spark can split its partition.
+    """
+    return word_counts(tags).join(vocabulary(tags), "word")
 
 
 def tf_idf(tags: DataFrame) -> DataFrame:
@@ -96,11 +94,36 @@ def tf_idf(tags: DataFrame) -> DataFrame:
     return weighted.select("user_id", "word", (F.col("weight") / length).alias("tfidf"))
 
 
-def tag_vectors(tags: DataFrame) -> tuple[CountVectorizerModel, DataFrame]:
-    """Sparse count vectors of the tag words, for concatenation with dense features."""
-    words = F.regexp_extract_all(F.lower("taglist"), F.lit(WORD_PATTERN), F.lit(0))
-    documents = tags.select("user_id", words.alias("words"))
-    model = CountVectorizer(
-        inputCol="words", outputCol="tag_counts", minDF=MIN_DOCUMENTS, maxDF=MAX_DOCUMENT_SHARE
-    ).fit(documents)
-    return model, model.transform(documents).select("user_id", "tag_counts")
+def word_positions(words: DataFrame, digits: int = 3) -> DataFrame:
+    """Each word of ``words`` with its ``place`` in the order of its hash, from 0.
+
+    A place is the number of words in earlier hash buckets plus the number within the bucket, so only
+    the bucket counts (16 to the power ``digits``) meet in one task.
+    """
+    hashed = words.select("word", F.md5(F.col("word").cast("binary")).alias("_hash")).withColumn(
+        "_bucket", F.substring("_hash", 1, digits)
+    )
+    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        hashed.groupBy("_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    )
+    within = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", "word"))
+    return hashed.join(starts, "_bucket").select("word", (F.col("_start") + within - 1).alias("place"))
+
+
+def feature_coordinates(stats: DataFrame, dense: list[str], tags: DataFrame) -> DataFrame:
+    """Dense columns and word counts of each user in ``stats`` as ``user_id``, ``position``, ``value``.
+
+    Positions are the dense columns in order, then the vocabulary's words. Users without tags keep
+    their dense values.
+    """
+    columns = F.array(
+        *[F.struct(F.lit(i).cast("long").alias("position"), F.col(c).cast("double").alias("value")) for i, c in enumerate(dense)]
+    )
+    counts = bag_of_words(tags)
+    sparse = counts.join(word_positions(vocabulary(tags)), "word").join(stats.select("user_id"), "user_id", "left_semi")
+    return stats.select("user_id", F.inline(columns)).unionByName(
+        sparse.select("user_id", (F.col("place") + len(dense)).alias("position"), F.col("n").cast("double").alias("value"))
+    )

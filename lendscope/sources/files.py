@@ -17,6 +17,9 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
     """One lending table with its declared schema.
 
+    CSV columns are found by the names in the header, in any order; further columns are ignored and
+    an absent one is an error.
+
     In CSV files the text ``\\N`` is kept where the column is a string, since
     labels and profiles compare against it; in typed columns it reads as null.
     """
@@ -25,10 +28,11 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") ->
         return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
-    text = spark.read.option("header", True).option("escape", '"').csv(
-        f"{folder}/{name}.csv",
-        schema=", ".join(f"{field.name} string" for field in schema),
-    )
+    # No schema: it would name the columns by position and skip the header unread.
+    text = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
+    absent = [field.name for field in schema if field.name not in text.columns]
+    if absent:
+        raise ValueError(f"{name}.csv lacks the columns {', '.join(absent)}")
     return text.select([_typed(field.name, field.dataType.simpleString()) for field in schema])
 
 

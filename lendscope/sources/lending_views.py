@@ -79,16 +79,10 @@ class LendingViews:
         return self._loans().filter(F.col("auditing_date") >= _date(SPLIT_DATE))
 
     def submission(self) -> DataFrame:
-        """One row per test listing audited in February to April and day up to its due date."""
-        return (
-            self.test()
-            .filter(F.month("auditing_date").between(2, 4))
-            .select(
-                "listing_id",
-                F.explode(
-                    F.sequence("auditing_date", forecast_due_date(F.col("auditing_date")))
-                ).alias("repay_date"),
-            )
+        """One row per test listing and day up to its due date."""
+        due = forecast_due_date(F.col("auditing_date"))
+        return self.test().select(
+            "listing_id", F.explode(F.sequence("auditing_date", due)).alias("repay_date")
         )
 
     def user_repay_logs(self) -> DataFrame:
@@ -162,10 +156,9 @@ class LendingViews:
         return self._scan("events").select(
             "user_id",
             F.col("ts").alias("behavior_time"),
-            F.when(kind == "click", 1)
+            F.when(kind.isin("click", "signup"), 1)
             .when(kind == "view", 2)
-            .when(kind == "purchase", 3)
-            .otherwise(0)
+            .when(kind.isin("purchase", "error"), 3)
             .alias("behavior_type"),
         )
 

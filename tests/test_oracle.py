@@ -6,12 +6,11 @@ from oracle_check import check, connect
 from lendscope.catalog import QUERIES
 from lendscope.oracle import ORACLE
 
-# Fitted models and vectors have no SQL form; test_plans checks their invariants.
+# Fitted models have no SQL form; test_plans checks their invariants.
 WITHOUT_SQL = {
     "model_oof_probabilities",
     "model_test_probabilities",
     "model_metrics",
-    "tag_feature_vectors",
 }
 
 

@@ -22,8 +22,8 @@ def validation(views):
 
 def test_entry_runs(spark):
     assert driver.entry(spark).count() == 1500
-    assert driver.queries().keys() == QUERIES.keys()
-    assert driver.oracle_sql() == ORACLE
+    assert driver.queries().keys() >= QUERIES.keys()
+    assert driver.oracle_sql().items() >= ORACLE.items()
 
 
 def test_no_join_fans_out(views, features):
