@@ -28,7 +28,7 @@ from lendscope.llm.common import arrow_map, text_runs
 
 TOP = 4096
 TIERS = (512, 1024, 2048, 4096)
-SMALLEST = 64
+SMALLEST = 1
 END_ID = 2
 STEP_TOKENS = 1 << 18
 CACHE = 400_000
