@@ -69,7 +69,10 @@ def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=D
     found = stored(chunks.join(small_side(twice, twice.count()), "digest", "left_semi"))
     # Grouping and joining by the chunk itself compares the bytes, whatever the digests say.
     place = lambda p: F.struct(F.col("_id").isNull().alias("none"), *[F.col(c) for c in (*KEY, "no")]).alias(p)
-    first = found.groupBy("digest", "chunk").agg(F.min(place("p")).alias("first"))
+    # Stored apart, so that Spark can split the join where one chunk has very many places.
+    first = stored(
+        found.groupBy("digest", "chunk").agg(F.min(place("p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    )
     return (
         found.withColumn("place", place("place"))
         .join(first, ["digest", "chunk"])
