@@ -116,7 +116,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col="doc_id", text
         lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
     sorted_spans = F.array_sort(F.array_distinct(ranked))
-    by_blob = found.select("blob", sorted_spans.alias("found"))
+    # Stored apart, so that Spark can split the join where one blob has very many rows.
+    by_blob = stored(found.select("blob", sorted_spans.alias("found")))
     return versions.select("doc_id", "blob").join(by_blob, "blob", "left"), new
 
 
