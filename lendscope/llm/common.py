@@ -20,8 +20,6 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch sent to Python.
 BATCH_BYTES = "8m"
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
@@ -126,11 +124,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, every other character unchanged."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 #: A row's key: ids may be null or repeat, then the text's hash tells rows apart.
 KEY = ["_id", "_fp"]
 
