@@ -101,11 +101,19 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", divisor=DIVIS
         F.transform(F.filter("_chunks", lambda c: ~out(c)), lambda c: lines_between(c["first"], c["last"])), "\n"
     )
     removed = F.aggregate("_chunks", F.lit(0), lambda n, c: n + F.when(out(c), c["last"] - c["first"] + 1).otherwise(0))
-    return marked.select(
-        F.col("_id").alias("doc_id"),
+    results = F.struct(
         F.size("_lines").alias("n_lines"),
         F.size("_chunks").alias("n_chunks"),
         F.when(F.col("_gone").isNull(), 0).otherwise(removed).alias("n_removed"),
         F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept).alias("text"),
+    )
+    # An outer explode of one row: a later filter on plain columns would take a copy of the expressions
+    # below the projections, where the lines are split and hashed again for every line.
+    held = marked.select(
+        F.col("_id").alias("doc_id"), *[f"_keep_{c}" for c in keep], F.explode_outer(F.array(results)).alias("_result")
+    )
+    return held.select(
+        "doc_id",
+        *[f"_result.{c}" for c in ("n_lines", "n_chunks", "n_removed", "text")],
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )
