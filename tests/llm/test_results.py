@@ -154,6 +154,13 @@ def test_line_chunks(spark, small_dir, texts):
     assert sum(r.n_removed for r in got.values()) == removed > 0
 
 
+def test_line_chunks_hash_lines_once_under_a_filter(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, None)], "doc_id long, text string")
+    kept = line_chunks.dedup_lines(df).where("n_removed = 0 or text <> ''")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert {r.doc_id: r.text for r in kept.collect()}[3] == ""
+
+
 def test_leaks(spark, small_dir, texts):
     bench = [r.text for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
     got = {r.doc_id: r.n_leaks for r in QUERIES["op7_decontamination"](spark, small_dir).collect()}
