@@ -219,6 +219,17 @@ def test_long_matches_in_small_alphabets(spark):
     assert by_id(run_index.dedup(df)) == removed_bytes(texts)
 
 
+def test_long_matches_around_crowded_anchors(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    word = lambda: "".join(rng.choice("xyz") for _ in range(60))
+    texts = {i: word() + passage[rng.randrange(60) :] + word() + (passage[:90] if i % 3 else "") for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = removed_bytes(texts)
+    for crowd in (0, 5, run_index.CROWD):
+        assert by_id(run_index.dedup(df, crowd=crowd)) == want
+
+
 def test_packing_round_trip(spark, small_dir, texts):
     from tokenizers import Tokenizer
 
