@@ -128,6 +128,16 @@ def label_distribution(v: LendingViews) -> DataFrame:
     return profiling.value_counts(with_label(v.train()), "label")
 
 
+@query
+def label_ranking(v: LendingViews) -> DataFrame:
+    """Label counts with their place in the sorted output; there are 33 labels at most."""
+    counts = with_label(v.train()).filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "label", "n")))
+    return counts.agg(ordered.alias("rows")).select(F.posexplode("rows").alias("position", "row")).select(
+        F.col("position").cast("long").alias("position"), "row.label", "row.n"
+    )
+
+
 @query
 def label_count_histogram(v: LendingViews) -> DataFrame:
     counts = with_label(v.train()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -371,6 +381,33 @@ def listing_slice(v: LendingViews) -> DataFrame:
     return ranking.positional_slice(v.listing_info(), ["listing_id"], [block], 1, 100_000)
 
 
+@query
+def repay_log_slice(v: LendingViews) -> DataFrame:
+    blocks = [F.floor(F.col("listing_id") / width) for width in (1 << 32, 1 << 16)]
+    # The log has no unique key: equal instalments follow each other by their other columns.
+    order = ["listing_id", "order_id", "due_date", "due_amt", "repay_date", "repay_amt"]
+    return ranking.positional_slice(v.user_repay_logs(), order, blocks, 1, 100_000)
+
+
+@query
+def user_lookup(v: LendingViews) -> DataFrame:
+    """All rows of one user, the one with the smallest id in the test set."""
+    user = v.test().agg(F.min("user_id")).scalar()
+    sources = {"listing": v.listing_info(), "log": v.user_repay_logs(), "test": v.test()}
+    return ranking.rows_of(sources, "user_id", user, ["listing_id"])
+
+
+@query
+def users_in_listing(v: LendingViews) -> DataFrame:
+    known = v.user_info().select("user_id").distinct()
+    return ranking.with_membership(known, v.listing_info(), "user_id", "in_listing")
+
+
+@query
+def log_non_null_shares(v: LendingViews) -> DataFrame:
+    return profiling.non_null_shares(v.user_repay_logs(), "order_id")
+
+
 @query
 def column_profile(v: LendingViews) -> DataFrame:
     return profiling.column_profile(_rated_log(v)).drop("column_type")

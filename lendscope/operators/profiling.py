@@ -138,6 +138,21 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select("_rows", F.inline("_columns")).withColumnRenamed("_rows", "rows")
 
 
+def non_null_shares(df: DataFrame, group: str) -> DataFrame:
+    """Per group and other column: rows, non-null values, and their share of the table's non-null values.
+
+    One pass over the table; the totals are summed from the few rows of the aggregate.
+    """
+    columns = [c for c in df.columns if c != group]
+    counts = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("rows"), _as_rows(columns, ("non_null", F.count)).alias("_columns")
+    )
+    total = F.sum("non_null").over(W.partitionBy("column"))
+    return counts.select(group, "rows", F.inline("_columns")).withColumn(
+        "share", F.try_divide(F.col("non_null"), total)
+    )
+
+
 def columns_of_type(df: DataFrame, *types: str) -> list[str]:
     """Names of the columns with one of the given Spark types."""
     return [name for name, dtype in df.dtypes if dtype in types]

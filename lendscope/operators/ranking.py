@@ -81,3 +81,18 @@ def positional_slice(
         .filter((F.col("position") >= start) & (F.col("position") < stop))
         .drop("_start", *levels)
     )
+
+
+def rows_of(sources: dict[str, DataFrame], key: str, value: Column, columns: Sequence[str]) -> DataFrame:
+    """The rows of several tables whose ``key`` is ``value``, with the table's name; the filter reaches each scan."""
+    found = [
+        df.filter(F.col(key) == value).select(F.lit(name).alias("source"), key, *columns)
+        for name, df in sources.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def with_membership(df: DataFrame, others: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add ``flag``: 1 where ``others`` holds the row's key, else 0."""
+    held = others.select(key).distinct().withColumn(flag, F.lit(1))
+    return df.join(held, key, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))

@@ -508,6 +508,27 @@ _BODIES: dict[str, str] = {
     "listing_slice": """
         SELECT *, row_number() OVER (ORDER BY listing_id) - 1 AS position FROM listing_info
         QUALIFY position >= 1 AND position < 100000""",
+    "repay_log_slice": """
+        SELECT *, row_number() OVER (ORDER BY listing_id, order_id, r.due_date, due_amt, r.repay_date,
+                                     repay_amt NULLS FIRST) - 1 AS position FROM repay_log r
+        QUALIFY position >= 1 AND position < 100000""",
+    "user_lookup": """
+        WITH wanted AS (SELECT min(user_id) AS u FROM test)
+        SELECT 'listing' AS source, user_id, listing_id FROM listing_info, wanted WHERE user_id = u
+        UNION ALL SELECT 'log', user_id, listing_id FROM repay_log, wanted WHERE user_id = u
+        UNION ALL SELECT 'test', user_id, listing_id FROM test, wanted WHERE user_id = u""",
+    "users_in_listing": """
+        SELECT DISTINCT user_id, CASE WHEN user_id IN (SELECT user_id FROM listing_info) THEN 1 ELSE 0 END AS in_listing
+        FROM user_info""",
+    "log_non_null_shares": """
+        SELECT *, round(non_null / sum(non_null) OVER (PARTITION BY "column"), 6) AS share
+        FROM (UNPIVOT (SELECT order_id, count(*) AS rows, count(user_id) AS user_id, count(listing_id) AS listing_id,
+                              count(due_date) AS due_date, count(due_amt) AS due_amt, count(repay_date) AS repay_date,
+                              count(repay_amt) AS repay_amt FROM repay_log GROUP BY order_id)
+              ON user_id, listing_id, due_date, due_amt, repay_date, repay_amt INTO NAME "column" VALUE non_null)""",
+    "label_ranking": """
+        SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS position
+        FROM labelled WHERE label IS NOT NULL GROUP BY label""",
     "column_profile": " UNION ALL ".join(
         f"SELECT count(*) AS rows, '{name}' AS column_name, count({source}) AS non_null FROM log1_rate"
         for name, source in _LOG_COLUMNS.items()
@@ -658,6 +679,7 @@ _TEXT_COLUMNS = {
     "repay_log_never_repaid": ["due_date", "repay_date"],
     "date_ranges": ["first_date", "last_date"],
     "listing_slice": ["auditing_date"],
+    "repay_log_slice": ["due_date", "repay_date"],
     "test_due_date": ["auditing_date", "due_date"],
     "submission_calendar": ["repay_date"],
     "daily_forecast": ["repay_date"],

@@ -212,3 +212,16 @@ def test_slices_and_quartiles_keep_null_groups(spark):
     groups = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     found = {r["g"]: r["p50"] for r in profiling.describe_by(groups, "g", ["x"]).collect()}
     assert found == {None: 2.0, "a": 5.0}
+
+
+def test_non_null_shares_count_each_column(spark):
+    df = spark.createDataFrame([(1, 5, None), (1, None, "x"), (2, 7, "y")], "g int, a int, b string")
+    found = {(r["g"], r["column"]): (r["rows"], r["non_null"], r["share"]) for r in profiling.non_null_shares(df, "g").collect()}
+    assert found == {(1, "a"): (2, 1, 0.5), (1, "b"): (2, 1, 0.5), (2, "a"): (1, 1, 0.5), (2, "b"): (1, 1, 0.5)}
+
+
+def test_membership_flags_null_keys_as_absent(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(2,), (2,), (None,)], "k int")
+    found = ranking.with_membership(left, right, "k", "held").collect()
+    assert {r["k"]: r["held"] for r in found} == {1: 0, 2: 1, None: 0}
