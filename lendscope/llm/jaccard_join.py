@@ -205,7 +205,7 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
     heads = nodes.join(group.where("node = head").select("node"), "node", "left_semi")
     tokens = heads.select(F.col("node").alias("head"), "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rows = stored(tokens.join(shared, "token"))  # only shingles that meet another group
+    whole = rows = stored(tokens.join(shared, "token"))  # only shingles that meet another group
     members = group.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = verified(filtered(members, nodes), docs, owners)
     for k in range(STAR_ROUNDS):
@@ -214,7 +214,8 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
         else:
             at = near_labels(found)
             labelled = rows.join(at, "head", "left").withColumn("label", F.coalesce("label", "head"))
-            # A bucket whose groups are connected already has nothing left to try.
+            # A bucket whose heads are connected already has no leader left to try. The complete round takes the
+            # whole rows: members that their head did not connect can still have links in such a bucket.
             mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
             rows = stored(labelled.join(mixed, "token").select("token", "head", "n"))
             labelled = rows.join(at, "head", "left").withColumn("label", F.coalesce("label", "head"))
@@ -227,7 +228,7 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
         )
         best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         found = stored(found.union(verified(filtered(best, nodes), docs, owners)))
-    return found, rows, group, nodes, owners
+    return found, whole, group, nodes, owners
 
 
 def rest_edges(docs, at, rows, group, nodes, owners) -> DataFrame:

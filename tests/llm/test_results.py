@@ -106,6 +106,21 @@ def test_near_duplicates_chain_and_cluster(spark):
     assert by_id(jaccard_join.near_duplicates(df)) == near_classes(texts)
 
 
+def test_near_duplicates_of_members_below_linked_heads(spark):
+    texts = {}
+    for k in range(8):
+        # Frequent tails come last in the order, so all prefixes hold boilerplate alone.
+        common = [f"c{k}w{i}" for i in range(57)]
+        for tail in "ab":
+            words = [*common, *(f"{tail}{k}t{i}" for i in range(7))]
+            texts[len(texts)] = " ".join(words)
+            texts[len(texts)] = " ".join([f"front{k}", *words])
+            for _ in range(14):
+                texts[len(texts)] = " ".join(words[-11:])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert by_id(jaccard_join.near_duplicates(df)) == near_classes(texts)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(150, 48))
