@@ -203,6 +203,22 @@ def test_reworded_leaks_need_consistent_slots(spark):
     assert [got[i][2] for i in (1, 2)] == [False, True]
 
 
+def test_leaks_of_items_with_few_literal_words(spark):
+    items = {
+        1: "12 + 7 * 3 = ?",
+        2: "Who Wrote Hamlet?",
+        3: "The Tale Of Peter Rabbit By Beatrix Potter In London 1902 And Other Books For Young Readers",
+        4: "小明有十二个苹果他吃掉了三个还剩下多少个",
+        5: "",
+    }
+    docs = [(k, f"some words before it, then {t} and some words after") for k, t in items.items() if t]
+    docs += [(11, "sum 12 - 7 * 3 = ? here"), (12, "sum 12 + 7 * 4 = ? here"), (13, "who wrote macbeth?"), (14, "老师说" + items[4] + "呢")]
+    docs += [(15, items[3].lower()), (16, "plain words without any leak")]
+    df, bench = (spark.createDataFrame(list(x), f"{c} long, text string") for x, c in ((docs, "doc_id"), (items.items(), "item_id")))
+    got = by_id(decontaminate.decontaminate(df, bench))
+    assert {i: r[3] for i, r in got.items()} == {1: "1", 2: "2", 3: "3", 4: "4", 11: "", 12: "", 13: "", 14: "4", 15: "3", 16: ""}
+
+
 def removed_bytes(texts, match=50):
     seen, out = set(), {}
     for i in sorted(texts):
