@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated chunks of lines; documents of which nothing is left go."""
+    """Cut repeated chunks and passages of lines; documents of which nothing is left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = line_chunks.dedup_lines(docs, keep=others).where("n_removed = 0 or text <> ''")
+    cut = line_chunks.dedup_lines(docs, keep=others, passages=True).where("n_removed = 0 or text <> ''")
     if "n_chars" in others:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)

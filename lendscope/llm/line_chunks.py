@@ -5,6 +5,10 @@ A rolling hash over the hashes of two neighbouring lines ends a chunk where it i
 elsewhere. Chunks of two lines or more whose bytes occur more than once in the corpus stay at
 their first place (smallest id, then fingerprint, then chunk number) and go everywhere else.
 
+Passages that hold no whole chunk are found by ``passages=True``: lines of which every pair of neighbours
+has an earlier place go as well, where such a run has more than ``PASSAGE_WORDS`` words. Each line that goes
+is kept at an earlier place, though its neighbours there may differ.
+
 Defined cases: a null text counts as empty, which is one empty line; ids may be null (they sort
 last) and rows with the same id and text count as one document, each keeping what it keeps. Only
 the id and text columns are read.
@@ -12,12 +16,13 @@ the id and text columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import KEY, keyed, small_side, stored
 
 DIVISOR = 3
+PASSAGE_WORDS = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -65,6 +70,11 @@ def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=D
         .where("_c.no is not null")
         .select(*KEY, "_c.no", "_c.chunk", F.xxhash64("_c.chunk").alias("digest"))
     )
+    return later_places(chunks).select(*KEY, "no")
+
+
+def later_places(chunks: DataFrame) -> DataFrame:
+    """The rows of ``chunks`` whose ``chunk`` has an earlier place."""
     twice = stored(chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     found = stored(chunks.join(small_side(twice, twice.count()), "digest", "left_semi"))
     # Grouping and joining by the chunk itself compares the bytes, whatever the digests say.
@@ -77,16 +87,46 @@ def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=D
         found.withColumn("place", place("place"))
         .join(first, ["digest", "chunk"])
         .where(~F.col("place").eqNullSafe(F.col("first")))
-        .select(*KEY, "no")
+        .select(*KEY, "no", "chunk")
+    )
+
+
+def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """Runs of lines of which each pair of neighbours has an earlier place: ``_id``, ``_fp``, ``first``, ``last``."""
+    pairs = F.transform(
+        F.slice("_lines", 1, F.size("_lines") - 1),
+        lambda line, i: F.struct(i.alias("no"), F.concat_ws("\n", line, F.get("_lines", i + 1)).alias("chunk")),
+    )
+    rows = (
+        keyed(docs, id_col, text_col)
+        .withColumn("_lines", F.split("_text", "\n"))
+        .select(*KEY, F.explode_outer(pairs).alias("_c"))
+        .where("_c.no is not null")
+        .select(*KEY, "_c.no", "_c.chunk", F.xxhash64("_c.chunk").alias("digest"))
+    )
+    words = lambda k: F.size(F.filter(F.split(F.get(F.split("chunk", "\n"), F.lit(k)), r"\s+"), lambda w: w != ""))
+    later = later_places(rows).select(*KEY, "no", words(0).alias("here"), words(1).alias("after")).distinct()
+    run = F.col("no") - F.row_number().over(Window.partitionBy(*KEY).orderBy("no"))
+    return (
+        later.withColumn("run", run)
+        .groupBy(*KEY, "run")
+        .agg(F.min("no").alias("first"), (F.max("no") + 1).alias("last"), (F.sum("here") + F.max_by("after", "no")).alias("words"))
+        .where(F.col("words") > PASSAGE_WORDS)
+        .select(*KEY, "first", "last")
     )
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", divisor=DIVISOR, keep=()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", divisor=DIVISOR, keep=(), passages=False) -> DataFrame:
     """Per row ``doc_id``, ``n_lines``, ``n_chunks``, ``n_removed`` (lines) and the kept ``text``, then ``keep``."""
+    found = repeated_chunks(docs, id_col, text_col, divisor)
+    cuts = [F.collect_set("no").alias("_gone")]
+    if passages:
+        runs = repeated_passages(docs, id_col, text_col).select(*KEY, F.struct("first", "last").alias("run"))
+        found = found.unionByName(runs, allowMissingColumns=True)
+        cuts.append(F.collect_list("run").alias("_runs"))
     gone = stored(
-        repeated_chunks(docs, id_col, text_col, divisor)
-        .groupBy(*KEY)
-        .agg(F.collect_set("no").alias("_gone"))
+        found.groupBy(*KEY)
+        .agg(*cuts)
         .withColumnsRenamed({"_id": "_gone_id", "_fp": "_gone_fp"})
     )
     rows = keyed(docs, id_col, text_col, *[F.col(c).alias(f"_keep_{c}") for c in keep])
@@ -101,6 +141,13 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", divisor=DIVIS
         F.transform(F.filter("_chunks", lambda c: ~out(c)), lambda c: lines_between(c["first"], c["last"])), "\n"
     )
     removed = F.aggregate("_chunks", F.lit(0), lambda n, c: n + F.when(out(c), c["last"] - c["first"] + 1).otherwise(0))
+    if passages:
+        ranges = F.concat(
+            "_runs", F.transform(F.filter("_chunks", out), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last")))
+        )
+        left = F.filter("_lines", lambda line, i: ~F.exists("_ranges", lambda r: (r["first"] <= i) & (i <= r["last"])))
+        marked = marked.withColumn("_ranges", ranges).withColumn("_left", left)
+        kept, removed = F.array_join("_left", "\n"), F.size("_lines") - F.size("_left")
     results = F.struct(
         F.size("_lines").alias("n_lines"),
         F.size("_chunks").alias("n_chunks"),

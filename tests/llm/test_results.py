@@ -169,6 +169,23 @@ def test_line_chunks(spark, small_dir, texts):
     assert sum(r.n_removed for r in got.values()) == removed > 0
 
 
+def test_short_passages_between_foreign_lines(spark):
+    line = lambda name: " ".join(f"{name}v{i}" for i in range(27))
+    rows, want = [], {}
+    for k in range(40):
+        passage = [line(f"p{k}l{i}") for i in range(2 + k % 4)]
+        foreign = [f"foreign {k} {i}" for i in range(6)]
+        rows.append((2 * k, "\n".join([*foreign[:2], *passage, foreign[2]]), "x"))
+        rows.append((2 * k + 1, "\n".join([foreign[3], *passage, *foreign[4:]]), "x"))
+        want[2 * k], want[2 * k + 1] = rows[-2][1], "\n".join([foreign[3], *foreign[4:]])
+    rows += [(100, "a\n\n\nb", "x"), (101, "c\n\n\nd", "x"), (102, None, "x")]  # short runs stay
+    want |= {100: rows[-3][1], 101: rows[-2][1], 102: None}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    assert {i: t or "" for i, t in got.items()} == {i: t or "" for i, t in want.items()}
+
+
 def test_line_chunks_hash_lines_once_under_a_filter(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, None)], "doc_id long, text string")
     kept = line_chunks.dedup_lines(df).where("n_removed = 0 or text <> ''")
