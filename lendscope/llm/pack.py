@@ -5,8 +5,8 @@ windows are cut off long documents, the rest goes to the smallest tier that hold
 documents are laid end to end into windows of the tier's size. Windows of a shorter tier then fill
 the gaps that the last, unfinished window of each longer tier leaves, and what is left in the end is
 cut into powers of two, so that next to nothing is padding. A window's ids never leave the task, so
-packing costs no shuffle. Step groups hold the same number of tokens from every tier as far as
-there are windows: sequence k of a tier in a task belongs to step ``k * size // STEP_TOKENS``.
+packing costs no shuffle. Step groups are counted in each task alone and are not balanced over the
+corpus: sequence k of a tier in a task belongs to step ``k * size // STEP_TOKENS``.
 
 Defined cases: a null text counts as empty and yields the end id alone; ids may be null or repeat,
 each row is its own document. Only the id and text columns are read.
