@@ -6,6 +6,7 @@ import re
 
 from lendscope.llm.license_scan import GAP, MIN_COVER, NEAR, PHRASES, SEPARATORS, TEMPLATES
 from lendscope.llm.line_chunks import DIVISOR
+from lendscope.llm.nra_search import TERM, TOP
 from lendscope.llm.secret_ledger import BASE, EITHER_CASE, RULES
 
 #: A-Z to a-z alone; lower() would change other letters too.
@@ -181,10 +182,39 @@ SELECT doc_id, CAST(sum(k) AS INT) AS n_lines, CAST(count(*) AS INT) AS n_chunks
 FROM marked GROUP BY doc_id
 """
 
+NRA_SEARCH = rf"""
+WITH doc_words AS (
+    SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '{TERM}')) AS term FROM documents
+),
+item_words AS (
+    SELECT item_id, unnest(regexp_extract_all({LOWERED}, '{TERM}')) AS term FROM benchmark
+),
+lengths AS (SELECT doc_id, count(*) AS n FROM doc_words GROUP BY doc_id),
+sizes AS (SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM item_words GROUP BY item_id, term),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM doc_words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, sizes GROUP BY term, total
+),
+scores AS (
+    SELECT item_id, doc_id,
+        CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // length)))) AS BIGINT) AS score
+    FROM postings JOIN lengths USING (doc_id) JOIN weights USING (term) JOIN asked USING (term), sizes
+    GROUP BY item_id, doc_id
+),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= {TOP}
+"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": SECRET_LEDGER,
     "op2_license_diagonals": LICENSE_DIAGONALS,
     "op3_jaccard_join": JACCARD_JOIN,
     "op4_lattice_hashing": LATTICE_HASHING,
     "op6_line_chunks": LINE_CHUNKS,
+    "op11_nra_search": NRA_SEARCH,
 }
