@@ -124,6 +124,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def ascii_lower(word: Column) -> Column:
+    """A-Z alone in lower case; ``lower`` would change other letters of words beyond ASCII."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+
+
+def split_words(text: Column, separators: str) -> Column:
+    """The parts between matches of ``separators``, several times faster than matching the words."""
+    return F.array_remove(F.split(text, separators), "")
+
+
 #: A row's key: ids may be null or repeat, then the text's hash tells rows apart.
 KEY = ["_id", "_fp"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import class_model, decontaminate, jaccard_join, lattice, license_scan, line_chunks, nra_search, pack, rule_classifier, run_index, secret_ledger, whitening
+from lendscope.llm import class_model, decontaminate, fingerprints, jaccard_join, lattice, license_scan, line_chunks, nra_search, pack, rule_classifier, run_index, secret_ledger, whitening
 from lendscope.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -66,7 +66,11 @@ def op12_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op13_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op4_lattice_hashing, op5_class_model, op6_line_chunks, op7_decontamination, op8_run_index, op9_packing, op10_rule_classifier, op11_nra_search, op12_feast_whitening)
+    for f in (op1_secret_ledger, op2_license_diagonals, op3_jaccard_join, op4_lattice_hashing, op5_class_model, op6_line_chunks, op7_decontamination, op8_run_index, op9_packing, op10_rule_classifier, op11_nra_search, op12_feast_whitening, op13_weighted_sampling)
 }

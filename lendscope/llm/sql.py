@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from lendscope.llm import fingerprints
 from lendscope.llm.license_scan import GAP, MIN_COVER, NEAR, PHRASES, SEPARATORS, TEMPLATES
 from lendscope.llm.line_chunks import DIVISOR
 from lendscope.llm.nra_search import TERM, TOP
@@ -210,6 +211,47 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= {TOP}
 """
 
+def _fingerprints() -> str:
+    """Every sample as a column of one aggregate over the words of each text."""
+    numbers = fingerprints.multipliers()
+    k = range(fingerprints.SAMPLES)
+    least = ", ".join(f"min({fingerprints.sample_sql(numbers, 'lw')}) & 2147483647 AS s{i}" for i in k)
+    digest = " || ".join(f"printf('%08X', s{i})" for i in k)
+    same = lambda a, b: " + ".join(f"CAST({a}.s{i} = {b}.s{i} AS INT)" for i in k)
+    near = lambda a, b: (
+        f"CASE WHEN {a}.s0 IS NULL AND {b}.s0 IS NULL THEN 1.0 WHEN {a}.s0 IS NULL OR {b}.s0 IS NULL THEN 0.0 "
+        f"ELSE ({same(a, b)}) / {fingerprints.SAMPLES}.0 END"
+    )
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+turned AS (
+    SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+    FROM texts WINDOW w AS (ORDER BY doc_id)
+),
+pairs AS (
+    SELECT *, substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) AS edited FROM turned
+),
+bodies AS (SELECT doc_id, 0 AS variant, text AS body FROM pairs UNION ALL SELECT doc_id, 1, edited FROM pairs),
+words AS (
+    SELECT doc_id, variant, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+    FROM bodies
+),
+counted AS (SELECT doc_id, variant, word, count(*) AS tf FROM words GROUP BY ALL),
+hashed AS (SELECT doc_id, variant, ln(tf) AS lw, CAST('0x' || substring(md5(word), 1, 15) AS BIGINT) AS hash FROM counted),
+drawn AS (SELECT doc_id, variant, lw, hash >> 30 AS x, hash & 1073741823 AS y FROM hashed),
+least AS (SELECT doc_id, variant, {least} FROM drawn GROUP BY doc_id, variant),
+signed AS (SELECT b.doc_id, b.variant, l.* EXCLUDE (doc_id, variant), {digest} AS digest
+    FROM bodies b LEFT JOIN least l ON l.doc_id = b.doc_id AND l.variant = b.variant)
+SELECT p.doc_id, CAST(p.n AS BIGINT) AS n_chars, sha256(p.edited) AS edited_sha256,
+    coalesce(o.digest, '') AS fingerprint, coalesce(e.digest, '') AS edited_fingerprint,
+    CAST({near("o", "e")} AS DOUBLE) AS near_edited, CAST({near("o", "f")} AS DOUBLE) AS near_next
+FROM pairs p JOIN signed o ON o.doc_id = p.doc_id AND o.variant = 0
+JOIN signed e ON e.doc_id = p.doc_id AND e.variant = 1
+JOIN signed f ON f.doc_id = p.next_id AND f.variant = 0
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": SECRET_LEDGER,
     "op2_license_diagonals": LICENSE_DIAGONALS,
@@ -217,4 +259,5 @@ ORACLE: dict[str, str] = {
     "op4_lattice_hashing": LATTICE_HASHING,
     "op6_line_chunks": LINE_CHUNKS,
     "op11_nra_search": NRA_SEARCH,
+    "op13_weighted_sampling": _fingerprints(),
 }
