@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,13 +92,7 @@ def user_amount_stats(first_log: DataFrame) -> DataFrame:
     return grain_stats(keyed, ["user_id", "repay_amt"], grain_measures("u_ra"))
 
 
-def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
-    """Fifteen distribution statistics per user over the given instalments.
-
-    Moments are combined within map tasks; medians need the rows of a user in
-    order and are found separately, on the same partitioning by user.
-    """
-    base = with_repayment(log).filter(F.col("user_id").isNotNull())
+def _order_moments(base: DataFrame, suffix: str) -> DataFrame:
     days, amount = "early_repay_days", "due_amt"
     statistics: dict[str, Column] = {
         "repay_mean": F.avg("repay"),
@@ -113,18 +109,23 @@ def order_distribution(log: DataFrame, suffix: str = "") -> DataFrame:
         "due_amt_kurt": excess_kurtosis(amount),
         "due_amt_ptp": value_range(amount),
     }
-    moments = base.groupBy("user_id").agg(
-        *[column.alias(name + suffix) for name, column in statistics.items()]
-    )
-    medians = grouped_medians(
-        base,
-        "user_id",
-        {
-            "early_repay_days_median" + suffix: (days, DAY_BUCKET),
-            "due_amt_median" + suffix: (amount, AMOUNT_BUCKET),
-        },
-    )
-    return moments.join(medians, "user_id", "left")
+    return base.groupBy("user_id").agg(*[column.alias(name + suffix) for name, column in statistics.items()])
+
+
+def order_distribution(
+    log: DataFrame, suffix: str = "", medians: Callable[..., DataFrame] = grouped_medians
+) -> DataFrame:
+    """Fifteen distribution statistics per user over the given instalments.
+
+    Moments are combined within map tasks; ``medians`` need the rows of a user in
+    order and are found separately, on the same partitioning by user.
+    """
+    base = with_repayment(log).filter(F.col("user_id").isNotNull())
+    middle = {
+        "early_repay_days_median" + suffix: ("early_repay_days", DAY_BUCKET),
+        "due_amt_median" + suffix: ("due_amt", AMOUNT_BUCKET),
+    }
+    return _order_moments(base, suffix).join(medians(base, "user_id", middle), "user_id", "left")
 
 
 def _mean(prefix: str, rows: str = "rows") -> str:
@@ -137,34 +138,35 @@ def _std(prefix: str, rows: str = "rows") -> str:
     return f"CASE WHEN {rows} > 1 THEN sqrt({spread} / ({rows} - 1)) ELSE 0D END"
 
 
-def _grain_map(grain: str, key_type: str) -> Column:
+def _grain_map(grain: str) -> Column:
     """Map from a grain's key to its statistics, over the cells of one user."""
     return F.expr(f"""
-        map_from_entries(collect_list(struct(CAST(key AS {key_type}), struct(
+        map_from_entries(collect_list(struct(key, struct(
             {_mean("repay")} AS u_{grain}_repay_mean, {_std("repay")} AS u_{grain}_repay_std,
             {_mean("early")} AS u_{grain}_early_repay_days_mean,
             {_std("early")} AS u_{grain}_early_repay_days_std)))
             FILTER (WHERE grain = '{grain}' AND key IS NOT NULL))""").alias(grain)
 
 
-def user_history(rated_first_log: DataFrame) -> DataFrame:
-    """All order-1 history of a user in one row, for a single join to the fact.
+def user_history(first_log: DataFrame) -> DataFrame:
+    """The order-1 history of a user in one row, for a single join to the fact.
 
-    Each log row goes to one cell per grain: its month, weekday, rate and days
-    early. Cells are summed within map tasks before the shuffle, and a user has
-    few of them, so the second step, which turns them into maps (``dm``, ``dw``,
-    ``r``) and user totals, is small for every user. Days, weekdays and flags
-    are integers, so the sums behind the means and deviations are exact.
+    Each log row goes to one cell per grain: its month, weekday and days early.
+    Cells are summed within map tasks before the shuffle, and a user has few of
+    them, so the second step, which turns them into maps (``dm``, ``dw``) and
+    user totals, is small for every user. Days, weekdays and flags are integers,
+    so the sums behind the means and deviations are exact. Rates have no bounded
+    number per user and stay out of its row (``user_rate_stats``).
     """
-    grains = {"dm": "due_month", "dw": "due_weekday", "r": "rate", "days": "early_repay_days"}
+    grains = {"dm": "due_month", "dw": "due_weekday", "days": "early_repay_days"}
     keys = F.array(
         *[
-            F.struct(F.lit(grain).alias("grain"), F.col(column).cast(RATE_KEY).alias("key"))
+            F.struct(F.lit(grain).alias("grain"), F.col(column).cast("int").alias("key"))
             for grain, column in grains.items()
         ]
     )
     cells = (
-        rated_first_log.filter(F.col("user_id").isNotNull())
+        first_log.filter(F.col("user_id").isNotNull())
         .selectExpr(
             "user_id",
             "bigint(early_repay_days) AS early",
@@ -172,7 +174,6 @@ def user_history(rated_first_log: DataFrame) -> DataFrame:
             "repay",
             "due_month",
             "due_weekday",
-            "rate",
             "early_repay_days",
         )
         .select("user_id", "early", "weekday", "repay", F.inline(keys))
@@ -194,21 +195,20 @@ def user_history(rated_first_log: DataFrame) -> DataFrame:
     sums = ["rows", "weekday_rows"]
     sums += [f"{measure}_{part}" for measure in ("repay", "early", "weekday") for part in ("s", "ss")]
     per_user = cells.groupBy("user_id").agg(
-        _grain_map("dm", "int"),
-        _grain_map("dw", "int"),
-        _grain_map("r", RATE_KEY),
+        _grain_map("dm"),
+        _grain_map("dw"),
         *[F.expr(f"sum({name}) FILTER (WHERE grain = 'dm')").alias(name) for name in sums],
         F.max("early_max").cast("int").alias("u_early_repay_days_max"),
         F.min("early_min").cast("int").alias("u_early_repay_days_min"),
         *[
             F.expr(
-                f"max_by(int(key), struct(rows, -key)) FILTER (WHERE grain = '{grain}' AND key IS NOT NULL)"
+                f"max_by(key, struct(rows, -key)) FILTER (WHERE grain = '{grain}' AND key IS NOT NULL)"
             ).alias(name)
             for grain, name in (("days", "u_early_repay_days_mode"), ("dw", "u_repay_due_weekday_mode"))
         ],
         F.expr("sum(rows) FILTER (WHERE grain = 'dw' AND key IS NOT NULL)").alias("due_rows"),
-        F.expr("sum(rows * int(key)) FILTER (WHERE grain = 'dw')").alias("due_s"),
-        F.expr("sum(rows * int(key) * int(key)) FILTER (WHERE grain = 'dw')").alias("due_ss"),
+        F.expr("sum(rows * key) FILTER (WHERE grain = 'dw')").alias("due_s"),
+        F.expr("sum(rows * key * key) FILTER (WHERE grain = 'dw')").alias("due_ss"),
     )
     return per_user.selectExpr(
         "user_id",
@@ -229,5 +229,4 @@ def user_history(rated_first_log: DataFrame) -> DataFrame:
         f"{_std('repay')} AS u_repay_std",
         "dm",
         "dw",
-        "r",
     )

@@ -41,7 +41,7 @@ def test_features_are_numeric_and_free_of_targets(features):
 
 def test_fused_history_equals_separate_grains(views):
     log = history.first_order_log(views.user_repay_logs())
-    fused = history.user_history(history.attach_rate(log, views.listing_info()))
+    fused = history.user_history(log)
     separate = history.user_stats(log)
     names = [c for c in separate.columns if c != "user_id"]
     joined = fused.alias("f").join(separate.alias("s"), "user_id", "full")
