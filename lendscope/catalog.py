@@ -11,7 +11,7 @@ from lendscope.functions import calendar
 from lendscope.functions.calendar import date_parts
 from lendscope.functions.classes import UNPAID_DATE
 from lendscope.functions.labels import LABEL_RULES, with_label
-from lendscope.operators import encoding, profiling, ranking
+from lendscope.operators import encoding, numbering, profiling, ranking
 from lendscope.plans import behaviour, facts, forecast, history, listings, metrics, tags, tiers, users
 from lendscope.plans import feature_table as features
 from lendscope.plans.feature_table import LendingTables
@@ -377,16 +377,14 @@ def weekday_counts(v: LendingViews) -> DataFrame:
 
 @query
 def listing_slice(v: LendingViews) -> DataFrame:
-    block = F.floor(F.col("listing_id") / 65536)
-    return ranking.positional_slice(v.listing_info(), ["listing_id"], [block], 1, 100_000)
+    return numbering.positional_slice(v.listing_info(), ["listing_id"], 1, 100_000)
 
 
 @query
 def repay_log_slice(v: LendingViews) -> DataFrame:
-    blocks = [F.floor(F.col("listing_id") / width) for width in (1 << 32, 1 << 16)]
     # The log has no unique key: equal instalments follow each other by their other columns.
     order = ["listing_id", "order_id", "due_date", "due_amt", "repay_date", "repay_amt"]
-    return ranking.positional_slice(v.user_repay_logs(), order, blocks, 1, 100_000)
+    return numbering.positional_slice(v.user_repay_logs(), order, 1, 100_000)
 
 
 @query

@@ -5,24 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lendscope.operators.numbering import dense_numbers
 from lendscope.operators.skew import hot_by_count, left_join_spread
 
 
 def first_appearance_codes(df: DataFrame, column: str, order: Column) -> DataFrame:
     """Each non-null value, its rank by first appearance under ``order``, and its rows.
 
-    The numbering window runs over the distinct values only.
+    The distinct values are numbered by range partitions, however many there are.
     """
     values = (
         df.filter(F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("rows"))
     )
-    code = F.row_number().over(W.orderBy("_first")) - 1
-    return values.select(column, code.cast("int").alias(f"{column}_code"), "rows")
+    numbered = dense_numbers(values, [F.col("_first"), F.col(column)], "_code")
+    return numbered.select(column, F.col("_code").cast("int").alias(f"{column}_code"), "rows")
 
 
 def with_codes(df: DataFrame, columns: Sequence[str], order: Column, row_id: str) -> DataFrame:

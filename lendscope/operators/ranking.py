@@ -1,10 +1,9 @@
-"""Latest rows, row numbers, folds and positional slices without single-task sorts."""
+"""Latest rows, row numbers and folds without single-task sorts, look-ups and membership."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,42 +46,6 @@ def stratified_folds(
     )
 
 
-def positional_slice(
-    df: DataFrame, order: Sequence[str], buckets: Sequence[Column], start: int, stop: int
-) -> DataFrame:
-    """Rows [start, stop) in the order of ``order``, with their position.
-
-    ``buckets`` go from coarse to fine and agree with the order. Each level
-    counts rows per bucket and keeps only buckets the slice touches, so the
-    final numbering sorts small groups.
-    """
-    kept = df.withColumn("_start", F.lit(0).cast("long"))
-    levels: list[str] = []
-    for depth, bucket in enumerate(buckets):
-        kept = kept.withColumn(f"_level{depth}", bucket)
-        parents, levels = list(levels), [*levels, f"_level{depth}"]
-        counts = kept.groupBy(*levels).agg(
-            F.count(F.lit(1)).alias("_rows"), F.first("_start").alias("_parent_start")
-        )
-        earlier = W.partitionBy(*parents).orderBy(levels[-1]).rowsBetween(W.unboundedPreceding, -1)
-        begin = F.col("_parent_start") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-        touched = (
-            counts.withColumn("_begin", begin)
-            .filter((F.col("_begin") < stop) & (F.col("_begin") + F.col("_rows") > start))
-            .select(*levels, F.col("_begin").alias("_start"))
-        )
-        # Null is a bucket like any other.
-        found = touched.select(*[F.col(c).alias(f"{c}_found") for c in levels], "_start")
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_found")) for c in levels])
-        kept = kept.drop("_start").join(found, same).drop(*[f"{c}_found" for c in levels])
-    number = F.row_number().over(W.partitionBy(*levels).orderBy(*order))
-    return (
-        kept.withColumn("position", F.col("_start") + number - 1)
-        .filter((F.col("position") >= start) & (F.col("position") < stop))
-        .drop("_start", *levels)
-    )
-
-
 def rows_of(sources: dict[str, DataFrame], key: str, value: Column, columns: Sequence[str]) -> DataFrame:
     """The rows of several tables whose ``key`` is ``value``, with the table's name; the filter reaches each scan."""
     found = [

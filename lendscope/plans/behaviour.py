@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.classes import hour_bucket
 from lendscope.operators.profiling import dense_counts, dense_share, describe_by
-from lendscope.operators.ranking import positional_slice
+from lendscope.operators.numbering import positional_slice
 
 BEHAVIOUR_TYPES = (1, 2, 3)
 
@@ -85,10 +85,4 @@ def users_per_row(log: DataFrame) -> DataFrame:
 
 def log_slice(log: DataFrame, start: int, stop: int) -> DataFrame:
     """Rows [start, stop) in time order, users and types breaking ties."""
-    return positional_slice(
-        log,
-        order=["behavior_time", "user_id", "behavior_type"],
-        buckets=[F.date_trunc("HOUR", "behavior_time"), F.col("behavior_time"), F.col("user_id")],
-        start=start,
-        stop=stop,
-    )
+    return positional_slice(log, ["behavior_time", "user_id", "behavior_type"], start, stop)

@@ -1,9 +1,12 @@
 """Numbering by range partitions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators.numbering import dense_numbers
+from lendscope.operators.encoding import first_appearance_codes
+from lendscope.operators.numbering import PositionIndex, dense_numbers
 
 
 @pytest.mark.parametrize("rows", [0, 1, 7, 5000])
@@ -24,3 +27,26 @@ def test_equal_rows_and_nulls(spark):
 def test_no_window_over_the_table(spark):
     plan = dense_numbers(spark.range(100), [F.col("id")])._jdf.queryExecution().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_a_slice_of_sparse_ids_reads_the_partitions_it_touches(spark):
+    ids = sorted((i * i * 7919 + (i % 3) * 2**40) for i in range(3000))
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    index = PositionIndex.build(df, [F.col("id")], partitions=6)
+    assert sum(rows for _, _, rows in index.offsets) == 3000
+    for start, stop in [(0, 10), (700, 1500), (2990, 4000), (5000, 6000), (10, 10)]:
+        out = index.slice(start, stop)
+        assert sorted((r.position, r.id) for r in out.collect()) == list(enumerate(ids))[start:stop]
+    assert len(index.touched(0, 10)) == 1 < len(index.offsets)
+    scan = index.slice(0, 10)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_part", scan)
+
+
+def test_codes_need_no_window(spark):
+    df = spark.range(2000).select(F.col("id"), F.concat(F.lit("v"), F.col("id") * 17 % 700).alias("v"))
+    codes = first_appearance_codes(df, "v", F.col("id"))
+    assert "Window" not in codes._jdf.queryExecution().toString()
+    seen = {}
+    for i in range(2000):
+        seen.setdefault(f"v{i * 17 % 700}", len(seen))
+    assert {r.v: r.v_code for r in codes.collect()} == seen

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators import encoding, profiling, quantiles, ranking, skew, stats
+from lendscope.operators import encoding, numbering, profiling, quantiles, ranking, skew, stats
 
 
 def rows_of(df, *columns):
@@ -138,8 +138,7 @@ def test_positional_slice_equals_sorted_slice(spark, start, stop):
     draw = random.Random(3)
     rows = [(draw.randrange(40) if i % 3 else 7, draw.randrange(5), i) for i in range(600)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
-    buckets = [F.floor(F.col("a") / 4), F.col("a"), F.col("b")]
-    out = ranking.positional_slice(df, ["a", "b", "c"], buckets, start, stop)
+    out = numbering.positional_slice(df, ["a", "b", "c"], start, stop)
     expected = [(n, *row) for n, row in enumerate(sorted(rows))][start:stop]
     assert rows_of(out, "position", "a", "b", "c") == expected
 
@@ -207,7 +206,7 @@ def test_indicators_have_no_limit_on_values(spark):
 
 def test_slices_and_quartiles_keep_null_groups(spark):
     df = spark.createDataFrame([(None,), (1,), (2,), (3,)], "x int")
-    got = ranking.positional_slice(df, ["x"], [F.col("x")], 0, 3)
+    got = numbering.positional_slice(df, ["x"], 0, 3)
     assert sorted((r["position"], r["x"]) for r in got.collect()) == [(0, None), (1, 1), (2, 2)]
     groups = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     found = {r["g"]: r["p50"] for r in profiling.describe_by(groups, "g", ["x"]).collect()}
