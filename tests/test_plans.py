@@ -1,12 +1,14 @@
 """Invariants of the composed plans and the shape of their physical plans."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from lendscope.catalog import QUERIES, _fact, _tables
 from lendscope.oracle import ORACLE
-from lendscope.plans import behaviour, facts, feature_table, history, metrics, tiers
+from lendscope.plans import behaviour, facts, feature_table, history, metrics, model, tiers
 from lendscope.plans.model import CrossValidation, ForestSettings
 
 
@@ -132,3 +134,24 @@ def test_filters_and_columns_reach_the_scan(spark, small_dir):
     plan = QUERIES["user_repay_stats"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_linenumber,1)" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_a_stored_fit_is_read_back(views, monkeypatch):
+    fits = []
+    fit = model._fit
+    monkeypatch.setattr(model, "_fit", lambda rows, settings: fits.append(settings) or fit(rows, settings))
+    tables, small = _tables(views), ForestSettings(trees=2, depth=2)
+    first = CrossValidation.stored(tables, small).out_of_fold()
+    assert len(fits) == model.FOLDS
+    again = CrossValidation.stored(_tables(views), small).out_of_fold()
+    assert len(fits) == model.FOLDS
+    assert first.exceptAll(again).count() == 0
+    assert model.fit_key(tables, small) != model.fit_key(tables, ForestSettings(trees=3, depth=2))
+    fewer = replace(tables, train=tables.train.filter("listing_id <> 7"))
+    assert model.fit_key(fewer, small) != model.fit_key(tables, small)
+
+
+def test_audit_finds_faults(spark):
+    rows = [(0, 1, [0.5, 0.5]), (0, 1, [0.5, 0.6]), (1, 2, [1.0])]
+    scored = spark.createDataFrame(rows, "fold int, listing_id long, probabilities array<double>")
+    assert sorted(map(tuple, model.audit(scored).collect())) == [(0, 2, 1, 2, 2, 1), (1, 1, 1, 1, 1, 0)]
