@@ -76,9 +76,7 @@ def _as_rows(columns: Sequence[str], *fields: tuple[str, Callable[[str], Column]
     )
 
 
-def describe_by(
-    df: DataFrame, group: str, columns: Sequence[str], width: float = 65536.0
-) -> DataFrame:
+def describe_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max of numeric columns per group.
 
     Moments take one aggregate over the table. For the quartiles the rows are
@@ -106,7 +104,7 @@ def describe_by(
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     quartiles = (
-        quantiles_from_counts(counts, keys, "value", "_rows", QUARTILES, width)
+        quantiles_from_counts(counts, keys, "value", "_rows", QUARTILES)
         .groupBy(*keys)
         .agg(
             *[

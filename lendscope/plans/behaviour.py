@@ -56,7 +56,7 @@ def describe_mean_hours(log: DataFrame) -> DataFrame:
     hours = user_mean_hours(log).select(
         F.lit("all").alias("rows_of"), "hour_mean", hour_bucket(F.col("hour_mean")).alias("hour_bucket")
     )
-    return describe_by(hours, "rows_of", ["hour_mean", "hour_bucket"], width=0.001).drop("rows_of")
+    return describe_by(hours, "rows_of", ["hour_mean", "hour_bucket"]).drop("rows_of")
 
 
 def hour_histogram(log: DataFrame) -> DataFrame:

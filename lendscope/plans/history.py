@@ -17,9 +17,6 @@ from lendscope.operators.stats import (
     value_range,
 )
 
-# Amounts carry cents, so one bucket of this width has at most 65,536 distinct values.
-AMOUNT_BUCKET = 655.36
-DAY_BUCKET = 65536.0
 RATE_KEY = "decimal(12,4)"
 AMOUNT_KEY = "decimal(14,2)"
 
@@ -122,8 +119,8 @@ def order_distribution(
     """
     base = with_repayment(log).filter(F.col("user_id").isNotNull())
     middle = {
-        "early_repay_days_median" + suffix: ("early_repay_days", DAY_BUCKET),
-        "due_amt_median" + suffix: ("due_amt", AMOUNT_BUCKET),
+        "early_repay_days_median" + suffix: "early_repay_days",
+        "due_amt_median" + suffix: "due_amt",
     }
     return _order_moments(base, suffix).join(medians(base, "user_id", middle), "user_id", "left")
 
