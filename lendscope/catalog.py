@@ -12,7 +12,7 @@ from lendscope.functions.calendar import date_parts
 from lendscope.functions.classes import UNPAID_DATE
 from lendscope.functions.labels import LABEL_RULES, with_label
 from lendscope.operators import encoding, numbering, profiling, ranking
-from lendscope.plans import behaviour, facts, forecast, history, listings, metrics, tags, tiers, users
+from lendscope.plans import behaviour, facts, forecast, history, listings, metrics, sparse_input, tags, tiers, users
 from lendscope.plans import feature_table as features
 from lendscope.plans.feature_table import LendingTables
 from lendscope.plans.model import CrossValidation, audit
@@ -578,6 +578,30 @@ def tag_feature_vectors(v: LendingViews) -> DataFrame:
     )
 
 
+def _sparse_input(v: LendingViews) -> sparse_input.SparseInput:
+    stats = listings.user_loan_stats(v.listing_info())
+    places = users.latest_profiles(v.user_info())
+    return sparse_input.sparse_input(
+        stats, ["mean_principal", "std_principal"], places, ["cell_province", "id_province", "id_city"], tags.latest_tags(v.user_taglist())
+    )
+
+
+@query
+def sparse_matrix(v: LendingViews) -> DataFrame:
+    """Numbers, indicators and words in one matrix, read back from the vectors that a model gets."""
+    return sparse_input.entries(sparse_input.vectors(_sparse_input(v)), "user_id", "features")
+
+
+@query
+def sparse_matrix_columns(v: LendingViews) -> DataFrame:
+    return _sparse_input(v).columns
+
+
+@query
+def sparse_matrix_audit(v: LendingViews) -> DataFrame:
+    return sparse_input.audit(sparse_input.vectors(_sparse_input(v)), "user_id", "features")
+
+
 # Encodings and folds
 
 
