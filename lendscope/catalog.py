@@ -12,7 +12,7 @@ from lendscope.functions.calendar import date_parts
 from lendscope.functions.classes import UNPAID_DATE
 from lendscope.functions.labels import LABEL_RULES, with_label
 from lendscope.operators import encoding, numbering, profiling, ranking
-from lendscope.plans import behaviour, facts, forecast, history, listings, metrics, sparse_input, tags, tiers, users
+from lendscope.plans import behaviour, facts, forecast, history, integration, listings, metrics, sparse_input, tags, tiers, users
 from lendscope.plans import feature_table as features
 from lendscope.plans.feature_table import LendingTables
 from lendscope.plans.model import CrossValidation, audit
@@ -640,6 +640,16 @@ def feature_table(v: LendingViews) -> DataFrame:
     return shown_as_double(features.feature_table(_tables(v)), *NULLABLE_FEATURES)
 
 
+@query
+def integration_table(v: LendingViews) -> DataFrame:
+    return shown_as_double(integration.integration_table(_tables(v)), "label")
+
+
+@query
+def integration_indicators(v: LendingViews) -> DataFrame:
+    return integration.integration_indicators(_tables(v))
+
+
 def _cross_validation(v: LendingViews) -> CrossValidation:
     return CrossValidation.stored(_tables(v))
 

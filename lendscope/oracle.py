@@ -285,6 +285,17 @@ VIEWS |= {
         SELECT p.user_id, category, value
         FROM (UNPIVOT (SELECT user_id, cell_province, id_province, id_city FROM profiles)
               ON cell_province, id_province, id_city INTO NAME category VALUE value) p""",
+    "place_codes": """
+        SELECT user_id, cell_province, id_province, id_city,
+               CAST(dense_rank() OVER (ORDER BY cell_first) - 1 AS INTEGER) AS cell_province_code,
+               CAST(dense_rank() OVER (ORDER BY id_first) - 1 AS INTEGER) AS id_province_code,
+               CAST(dense_rank() OVER (ORDER BY city_first) - 1 AS INTEGER) AS id_city_code
+        FROM (SELECT *, min(user_id) OVER (PARTITION BY cell_province) AS cell_first,
+                     min(user_id) OVER (PARTITION BY id_province) AS id_first,
+                     min(user_id) OVER (PARTITION BY id_city) AS city_first FROM profiles)""",
+    "integration_label": """
+        SELECT listing_id, CAST(CASE WHEN repay_amt = 0 THEN 32
+               ELSE date_diff('day', repay_date_0, due_date) END AS INTEGER) AS label FROM labelled""",
     "sparse_names": """
         SELECT 0 AS block, 'number' AS kind, 'mean_principal' AS name
         UNION ALL SELECT 1, 'number', 'std_principal'
@@ -656,14 +667,7 @@ _BODIES: dict[str, str] = {
                CAST((SELECT count(*) FROM sparse_columns) AS INTEGER) AS least_size,
                CAST((SELECT count(*) FROM sparse_columns) AS INTEGER) AS greatest_size,
                count(*) AS entries, CAST(0 AS BIGINT) AS faults FROM sparse_cells""",
-    "category_codes": """
-        SELECT user_id, cell_province, id_province, id_city,
-               CAST(dense_rank() OVER (ORDER BY cell_first) - 1 AS INTEGER) AS cell_province_code,
-               CAST(dense_rank() OVER (ORDER BY id_first) - 1 AS INTEGER) AS id_province_code,
-               CAST(dense_rank() OVER (ORDER BY city_first) - 1 AS INTEGER) AS id_city_code
-        FROM (SELECT *, min(user_id) OVER (PARTITION BY cell_province) AS cell_first,
-                     min(user_id) OVER (PARTITION BY id_province) AS id_first,
-                     min(user_id) OVER (PARTITION BY id_city) AS city_first FROM profiles)""",
+    "category_codes": "SELECT * FROM place_codes",
     "category_one_hot": """
         SELECT user_id, category, value, CAST(1 AS INTEGER) AS indicator
         FROM (UNPIVOT (SELECT user_id, cell_province, id_province, id_city FROM profiles)
@@ -671,6 +675,31 @@ _BODIES: dict[str, str] = {
     "stratified_folds": "SELECT listing_id, label, fold FROM folded",
     "fold_label_balance": "SELECT label, fold, count(*) AS n FROM folded GROUP BY label, fold",
     "feature_table": _FEATURES,
+    "integration_table": f"""
+        SELECT f.user_id, f.listing_id, f.is_train, l.label, round(f.due_amt, 6) AS due_amt, i.term,
+               round(i.rate, 6) AS rate, i.principal, p.gender,
+               c.cell_province_code, c.id_province_code, c.id_city_code,
+               round(f.due_amt / nullif(date_diff('day', f.auditing_date, f.due_date), 0), 6) AS due_amt_per_days,
+               {_r("d", _distribution_doubles(""))}, d.early_repay_days_max, d.early_repay_days_sum,
+               {_r("a", _distribution_doubles("_all_order"))},
+               a.early_repay_days_max_all_order, a.early_repay_days_sum_all_order,
+               {_parts("f.auditing_date", "auditing_date", day=True)}, {_parts("f.due_date", "due_date", day=True)},
+               {_parts("p.reg_mon", "reg_mon", year=True)},
+               {_parts("p.info_insert_date", "info_insert_date", year=True, day=True)},
+               {_parts("g.tag_insert_date", "tag_insert_date", year=True, day=True)}
+        FROM fact f
+        LEFT JOIN integration_label l ON f.listing_id = l.listing_id
+        LEFT JOIN listing_info i ON f.user_id = i.user_id AND f.listing_id = i.listing_id
+        LEFT JOIN profiles p ON f.user_id = p.user_id
+        LEFT JOIN place_codes c ON f.user_id = c.user_id
+        LEFT JOIN user_taglist g ON f.user_id = g.user_id
+        LEFT JOIN distribution_first d ON f.user_id = d.user_id
+        LEFT JOIN distribution_all a ON f.user_id = a.user_id""",
+    "integration_indicators": """
+        SELECT f.listing_id, category, CAST(code AS VARCHAR) AS value, CAST(1 AS INTEGER) AS indicator
+        FROM fact f JOIN (UNPIVOT (SELECT user_id, cell_province_code AS cell_province, id_province_code AS id_province,
+                                          id_city_code AS id_city FROM place_codes)
+                          ON cell_province, id_province, id_city INTO NAME category VALUE code) p ON p.user_id = f.user_id""",
     "model_audit": """
         SELECT fold, count(*) AS n, count(DISTINCT listing_id) AS listings, CAST(33 AS INTEGER) AS fewest,
                CAST(33 AS INTEGER) AS most, CAST(0 AS BIGINT) AS wrong_sums FROM folded GROUP BY fold""",
@@ -696,6 +725,7 @@ _DOUBLE_COLUMNS = {
     "train_test_union": ["label", "repay_weekday"],
     "calendar_parts": ["repay_weekday"],
     "tier_feature_on_fact": ["freq", "most_freq", "median_freq", "lower_freq"],
+    "integration_table": ["label"],
     "feature_table": [
         "label",
         "repay_weekday",
