@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from lendscope.plans import behaviour, facts, forecast, history, integration, li
 from lendscope.plans import feature_table as features
 from lendscope.plans.feature_table import LendingTables
 from lendscope.plans.model import CrossValidation, audit
+from lendscope.session import shared_folder
+from lendscope.sources import files
 from lendscope.sources.lending_views import LendingViews, fixed_probabilities
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,6 +415,37 @@ def column_profile(v: LendingViews) -> DataFrame:
     return profiling.column_profile(_rated_log(v))
 
 
+@query
+def csv_round_trip(v: LendingViews) -> DataFrame:
+    """Tables written as CSV, read back with broken rows set apart, and compared."""
+    folder = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
+    tables = {
+        "train": v.train(), "test": v.test(), "listing_info": v.listing_info(), "user_info": v.user_info(),
+        "user_repay_logs": v.user_repay_logs(),
+    }
+    return reduce(DataFrame.unionByName, [files.round_trip(df, name, folder) for name, df in tables.items()])
+
+
+def _sorted_forecast(v: LendingViews) -> numbering.PositionIndex:
+    scored = v.test().withColumn("probabilities", fixed_probabilities(F.col("listing_id")))
+    daily = forecast.daily_forecast(v.submission(), scored)
+    order = ["listing_id", "repay_date"]
+    index = numbering.PositionIndex.build(daily, [F.col(c) for c in order])
+    index.check_order(order)
+    return index
+
+
+@query
+def sorted_forecast(v: LendingViews) -> DataFrame:
+    """The daily forecast in order, with each row's position in it."""
+    return _sorted_forecast(v).positioned()
+
+
+@query
+def forecast_preview(v: LendingViews) -> DataFrame:
+    return _sorted_forecast(v).preview(20)
+
+
 # Tiers
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.session import cut_lineage, shared_folder
@@ -68,6 +69,23 @@ class PositionIndex:
         stored = spark.read.schema(ranged.schema).parquet(folder)
         return cls(stored, _offsets(stored))
 
+    def check_order(self, order: Sequence[str]) -> None:
+        """Raise unless every folder's last row comes before the next folder's first: one pair per folder is compared."""
+        key = F.struct(*order)
+        ends = self.stored.groupBy("_part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        earlier = F.lag("last").over(W.orderBy("_part"))
+        wrong = ends.select("_part", (F.col("first") < earlier).alias("wrong")).filter("wrong").collect()
+        if wrong:
+            raise ValueError(f"folders out of order: {[r['_part'] for r in wrong]}")
+
+    def positioned(self, name: str = "position") -> DataFrame:
+        """All rows with their position."""
+        return _positioned(self.stored, self.offsets, name)
+
+    def preview(self, rows: int, name: str = "position") -> DataFrame:
+        """The first rows; only the folders that hold them are read, mostly one."""
+        return self.slice(0, rows, name)
+
     def touched(self, start: int, stop: int) -> list[int]:
         return [part for part, first, rows in self.offsets if first < stop and first + rows > start]
 

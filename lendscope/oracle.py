@@ -460,6 +460,12 @@ LEFT JOIN month_stats gm ON f.user_id = gm.user_id AND f.due_month = gm.due_mont
 LEFT JOIN weekday_stats gw ON f.user_id = gw.user_id AND f.due_weekday = gw.due_weekday
 LEFT JOIN rate_stats gr ON f.user_id = gr.user_id AND i.rate = gr.rate"""
 
+_SORTED_FORECAST = """
+SELECT g.listing_id, g.repay_date,
+       round(p.due_amt * p.w[date_diff('day', g.repay_date, g.due_date) + 1] / p.total, 6) AS repay_amt,
+       row_number() OVER (ORDER BY g.listing_id, g.repay_date) - 1 AS position
+FROM calendar_grid g JOIN test_probabilities p ON g.listing_id = p.listing_id"""
+
 _BODIES: dict[str, str] = {
     "label_days_early": "SELECT listing_id, repay_date, round(repay_amt, 6) AS repay_amt, label FROM labelled",
     "label_variants": """
@@ -574,6 +580,16 @@ _BODIES: dict[str, str] = {
         "FROM log1_rate"
         for name, (source, kind) in _LOG_COLUMNS.items()
     ),
+    "csv_round_trip": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS written, count(*) AS read, CAST(0 AS BIGINT) AS rejected, "
+        f"CAST(0 AS BIGINT) AS different FROM {view}"
+        for name, view in {
+            "train": "train", "test": "test", "listing_info": "listing_info", "user_info": "user_info",
+            "user_repay_logs": "repay_log",
+        }.items()
+    ),
+    "sorted_forecast": _SORTED_FORECAST,
+    "forecast_preview": f"SELECT * FROM ({_SORTED_FORECAST}) WHERE position < 20",
     "frequency_tiers_quantile": "SELECT user_id, freq, most_freq, median_freq, lower_freq FROM tiers_quantile",
     "frequency_tiers_fixed": "SELECT user_id, freq, most_freq, median_freq, lower_freq FROM tiers_fixed",
     "tier_stats": _round("tier_stats", "tier_early_mean", "tier_early_var"),
@@ -753,6 +769,8 @@ _TEXT_COLUMNS = {
     "test_due_date": ["auditing_date", "due_date"],
     "submission_calendar": ["repay_date"],
     "daily_forecast": ["repay_date"],
+    "sorted_forecast": ["repay_date"],
+    "forecast_preview": ["repay_date"],
 }
 for _type, _listed in (("VARCHAR", _TEXT_COLUMNS), ("DOUBLE", _DOUBLE_COLUMNS)):
     for _name, _columns in _listed.items():

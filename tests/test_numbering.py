@@ -50,3 +50,14 @@ def test_codes_need_no_window(spark):
     for i in range(2000):
         seen.setdefault(f"v{i * 17 % 700}", len(seen))
     assert {r.v: r.v_code for r in codes.collect()} == seen
+
+
+def test_a_preview_reads_one_folder_and_order_is_checked(spark):
+    df = spark.range(4000).select((F.col("id") * 31 % 4001).alias("k"))
+    index = PositionIndex.build(df, [F.col("k")], partitions=5)
+    index.check_order(["k"])
+    assert [r.k for r in index.preview(3).orderBy("position").collect()] == sorted(i * 31 % 4001 for i in range(4000))[:3]
+    assert len(index.touched(0, 3)) == 1 and index.positioned().count() == 4000
+    backwards = PositionIndex(index.stored.withColumn("k", -F.col("k")), index.offsets)
+    with pytest.raises(ValueError, match="out of order"):
+        backwards.check_order(["k"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendscope.functions.labels import with_label
-from lendscope.sources.files import read_table, write_csv
+from lendscope.sources.files import read_checked, read_table, write_csv, write_sorted_csv
 from lendscope.sources.schemas import SCHEMAS
 
 
@@ -79,3 +79,38 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "user_info.csv").write_text("user_id,gender\n1,x\n")
     with pytest.raises(ValueError, match="lacks the columns"):
         read_table(spark, str(tmp_path), "user_info")
+
+
+def test_broken_rows_are_set_apart_and_counted(spark, tmp_path):
+    (tmp_path / "listing_info.csv").write_text(
+        "listing_id,user_id,auditing_date,term,rate,principal,extra\n"
+        "10,1,2018-01-10,3,7.5,500,x\n"
+        "11,1,2018-01-32,3,7.5,500,x\n"
+        "12,1,2018-01-10,three,much,500,x\n"
+        "13,1,2018-01-10\n"
+        "14,1,2018-01-10,3,7.5,500,x,y,z\n"
+        "15,\\N,2018-01-10,,7.5,500,\n"
+    )
+    checked = read_checked(spark, str(tmp_path), "listing_info")
+    rows = {r.listing_id: r for r in checked.rows.collect()}
+    assert sorted(rows) == [10, 15]
+    assert rows[10].user_id == 1 and rows[10].auditing_date == dt.date(2018, 1, 10) and rows[10].principal == 500
+    assert rows[15].user_id is None and rows[15].term is None
+    assert {r.reason: r.n for r in checked.counts().collect()} == {"auditing_date": 1, "term,rate": 1, "fields": 2}
+    assert {r.line for r in checked.rejected.collect() if r.reason == "fields"} == {"13,1,2018-01-10", "14,1,2018-01-10,3,7.5,500,x,y,z"}
+    assert checked.rows.count() == 2 and checked.rejected.select("reason").count() == 4
+    (tmp_path / "train.csv").write_text("user_id,listing_id\n1,2\n")
+    with pytest.raises(ValueError, match="auditing_date"):
+        read_checked(spark, str(tmp_path), "train")
+
+
+def test_sorted_csv_goes_on_from_file_to_file(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), F.col("id").alias("b"))
+        write_sorted_csv(df, str(tmp_path / "out"), ["a", "b"], ["a"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "out").glob("part-*.csv"))
+    lines = [line for f in files for line in f.read_text().splitlines()[1:]]
+    assert len(files) > 1 and [int(x.split(",")[0]) for x in lines] == sorted(i * 7919 % 5003 for i in range(5000))
