@@ -238,3 +238,25 @@ def test_membership_flags_null_keys_as_absent(spark):
     right = spark.createDataFrame([(2,), (2,), (None,)], "k int")
     found = ranking.with_membership(left, right, "k", "held").collect()
     assert {r["k"]: r["held"] for r in found} == {1: 0, 2: 1, None: 0}
+
+
+def test_skewed_left_join_is_split_over_tasks(spark):
+    """One key holds most rows: Spark splits its partition, and no row is lost."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        fact = spark.range(200_000).select(F.col("id"), F.when(F.col("id") % 10 < 7, 3).otherwise(F.col("id") % 500).alias("k")).repartition(6)
+        dim = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = skew.left_join_unique(fact, dim, "k")
+        assert joined.filter("v = 2 * k").count() == 200_000
+        done = joined.select("id", "v")
+        done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
