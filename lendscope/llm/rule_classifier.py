@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     chosen = usable.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(HASH_RANGE)) < share * HASH_RANGE)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     names = list(FEATURES)
-    rows = with_features(sample, "_text", [F.col("_id"), F.col("_y")]).coalesce(4).persist()
+    rows = with_features(sample, "_text", [F.col("_id"), F.col("_y")]).repartition(4, "_id").persist()
     try:
         ones, count = rows.agg(F.sum("_y"), F.count("*")).first()
         ones = ones or 0.0
