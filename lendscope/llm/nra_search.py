@@ -22,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import scratch_folder, small_side, stored
+from lendscope.llm.common import ascii_lower, scratch_folder, small_side, split_words, stored
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = TERM.replace("^", "")
 TOP = 10
 #: Postings of a list in the first level, and how much deeper each following one reaches.
 DEPTH, GROWTH = 1000, 4
@@ -37,13 +38,7 @@ RESULT = "item_id long, rank int, doc_id long, score long"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-
-
-def lowered(word: Column) -> Column:
-    """A-Z alone in lower case; ``lower`` would change other letters of words beyond ASCII."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+    return split_words(text, SEPARATORS)
 
 
 def query_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,7 +47,7 @@ def query_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), text.alias("text")).distinct()
     qid = F.xxhash64(F.col("item_id").isNull(), F.coalesce("item_id", F.lit(0)), "text")
     exploded = rows.select(qid.alias("qid"), "item_id", F.explode(words(F.col("text"))).alias("word"))
-    return exploded.groupBy("qid", "item_id", lowered(F.col("word")).alias("term")).agg(F.count("*").alias("times"))
+    return exploded.groupBy("qid", "item_id", ascii_lower(F.col("word")).alias("term")).agg(F.count("*").alias("times"))
 
 
 def class_terms(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,14 +61,17 @@ def class_terms(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: s
     )
     split = classes.select(*CLASS, "copies", words(F.col("text")).alias("words"))
     tokens = split.select(*CLASS, "copies", F.size("words").cast("long").alias("n"), F.posexplode("words").alias("pos", "word"))
-    found = tokens.select(*CLASS, "copies", "n", "pos", lowered(F.col("word")).alias("word")).join(vocabulary, "word", "left")
+    found = tokens.select(*CLASS, "copies", "n", "pos", ascii_lower(F.col("word")).alias("word")).join(vocabulary, "word", "left")
     return found.groupBy(*CLASS, "copies", "n", "term").agg(F.count("*").alias("tf"), F.max(F.col("pos") == 0).alias("first"))
 
 
-def impacts(raw: DataFrame, total: int, length: int) -> DataFrame:
-    """Impact of every posting; decimals, as 75 * n * N may exceed 64 bits."""
-    m = F.expr(f"25 + cast((75 * cast(n as decimal(18,0)) * {total}BD) div {length}BD as bigint)")
-    hits = raw.where("term is not null").withColumn("m", m)
+def impacts(raw: DataFrame, total: int, length: int, longest: int) -> DataFrame:
+    """Impact of every posting; in decimals where 75 * n * N may exceed 64 bits."""
+    if 75 * longest * total < 1 << 63:
+        share = f"(75 * n * {total}L) div {length}L"
+    else:
+        share = f"cast((75 * cast(n as decimal(18,0)) * {total}BD) div {length}BD as bigint)"
+    hits = raw.where("term is not null").withColumn("m", F.expr(f"25 + {share}"))
     return hits.select(*CLASS, "term", F.expr("(1000000000 * tf) div (1000 * tf + 8 * m)").alias("impact"))
 
 
@@ -89,11 +87,16 @@ def write_lists(postings: DataFrame) -> tuple[DataFrame, int]:
     """The postings by level, rows of a class side by side, and the number of levels."""
     spark = postings.sparkSession
     level = stored(levels(postings))
-    placed = postings.withColumn("step", F.expr(f"impact div {STEP}")).join(small_side(level, level.count()), ["term", "step"]).drop("step")
+    deepest = level.agg(F.max("level")).first()[0] or 0
+    # Per term the lowest step of each level but the last; a level of no steps lies above them all.
+    lowest = [F.coalesce(F.min(F.when(F.col("level") <= i, F.col("step"))), F.lit(LAST_ID)).alias(f"low{i}") for i in range(deepest)]
+    cuts = stored(level.groupBy("term").agg(F.max("step").alias("top"), *lowest))
+    step = F.expr(f"impact div {STEP}")
+    beyond = sum([(step < F.col(f"low{i}")).cast("int") for i in range(deepest)], F.lit(0))
+    placed = postings.join(small_side(cuts, cuts.count()), "term").select(*CLASS, "term", "impact", beyond.alias("level"))
     folder = scratch_folder(spark)
     placed.sortWithinPartitions("level", *CLASS).write.partitionBy("level").parquet(folder)
-    deepest = level.agg(F.max("level")).first()[0]
-    return spark.read.schema(placed.schema).parquet(folder), 0 if deepest is None else deepest + 1
+    return spark.read.schema(placed.schema).parquet(folder), deepest + 1
 
 
 def resolve(query: DataFrame, lists: DataFrame, depth: int) -> DataFrame:
@@ -157,15 +160,15 @@ def search(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     asked = stored(query_terms(items, item_col, item_text_col))
     vocabulary = stored(asked.select(F.col("term").alias("word"), "term").distinct())
     raw = stored(class_terms(docs, small_side(vocabulary, vocabulary.count()), id_col, text_col))
-    total, length = raw.agg(F.sum(F.when(F.col("first"), F.col("copies"))), F.sum(F.col("copies") * F.col("tf"))).first()
+    total, length, longest = raw.agg(
+        F.sum(F.when(F.col("first"), F.col("copies"))), F.sum(F.col("copies") * F.col("tf")), F.max("n")
+    ).first()
     if not total:
         return spark.createDataFrame([], RESULT)
     rare = raw.where("term is not null").groupBy("term").agg(F.sum("copies").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * total + 2)) / (2 * F.col("df") + 1))).cast("long")
     query = stored(asked.join(rare, "term").select("qid", "item_id", "term", (weight * F.col("times")).alias("weight")))
-    lists, depth = write_lists(impacts(raw, total, length))
-    if not depth:
-        return spark.createDataFrame([], RESULT)
+    lists, depth = write_lists(impacts(raw, total, length, longest))
     best = resolve(query.select("qid", "term", "weight"), lists, depth)
     # Of each class only the first ids can be among an item's best.
     winners = stored(best.select("h", "g").distinct())
