@@ -40,7 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = scratch_folder(spark)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._lendscope_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` once everything read from them is itself stored."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._lendscope_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -167,6 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
         pointer = stored(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
         # A node that is smallest among its neighbours keeps itself and so has no pointer.
         at = pointer.select(F.col("node").alias("label"), F.col("to"))
+        old_labels, old_live = labels, live
         labels = stored(
             labels.join(at, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         )
@@ -177,4 +188,5 @@ def components(edges: DataFrame) -> DataFrame:
         live = stored(
             moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         )
+        discard(pointer, old_labels, old_live)
     return labels

@@ -3,9 +3,10 @@
 A document's set holds the 64-bit hashes of its distinct shingles. Sets are ordered by a global order
 of shingles that puts frequent ones last; two sets of Jaccard similarity 0.8 must share a shingle
 within their prefixes. Documents with the same set are one node; nodes with identical prefixes and
-size form one group, and only groups produce prefix rows. Group pairs are filtered by size, expanded
-to members, filtered by an exact lower bound on the symmetric difference (parity bitmaps), and then
-verified on whole sets, recomputed from the texts of the nodes concerned.
+size form one group, and only groups produce prefix rows. Group pairs are filtered by size and by
+where their last common prefix shingle stands, expanded to members, filtered by an exact lower bound
+on the symmetric difference (parity bitmaps), and then verified on whole sets, recomputed from the
+texts of the nodes concerned.
 
 Copies by the thousand need no pairs by the square: in two rounds every node is first compared with
 one leader, the one it shares most prefix shingles with. What that links is connected already, so the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lendscope.llm.common import arrow_map, components, small_side, stored, sum_counters, text_runs
+from lendscope.llm.common import arrow_map, components, discard, small_side, stored, sum_counters, text_runs
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN links.
@@ -177,7 +178,9 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
                 ok.append(DEN * common >= NUM * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(arrow_map(joined, compare, "a long, b long"))
+    out = stored(arrow_map(joined, compare, "a long, b long"))
+    discard(wanted, sets)
+    return out
 
 
 def near_labels(edges: DataFrame) -> DataFrame:
@@ -187,7 +190,9 @@ def near_labels(edges: DataFrame) -> DataFrame:
     """
     to = stored(edges.groupBy(F.greatest("a", "b").alias("head")).agg(F.min(F.least("a", "b")).alias("label")))
     onward = to.select(F.col("head").alias("label"), F.col("label").alias("next"))
-    return stored(to.join(onward, "label", "left").select("head", F.coalesce("next", "label").alias("label")))
+    out = stored(to.join(onward, "label", "left").select("head", F.coalesce("next", "label").alias("label")))
+    discard(to)
+    return out
 
 
 def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
@@ -203,7 +208,7 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
         .select("node", "n", "head")
     )
     heads = nodes.join(group.where("node = head").select("node"), "node", "left_semi")
-    tokens = heads.select(F.col("node").alias("head"), "n", F.explode("prefix").alias("token"))
+    tokens = heads.select(F.col("node").alias("head"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     whole = rows = stored(tokens.join(shared, "token"))  # only shingles that meet another group
     members = group.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -242,13 +247,21 @@ def rest_edges(docs, at, rows, group, nodes, owners) -> DataFrame:
         F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("label").isNull()).alias("open")
     ).where("x <> y or open or x is null").select("token")
     marked = stored(marked.join(mixed, "token"))
-    left, right = (marked.select("token", F.col("head").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    left, right = (
+        marked.select("token", F.col("pos").alias(f"p{x}"), F.col("head").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+        for x in "ab"
+    )
+    # Prefixes follow the global order, so beyond the shared prefix shingles two sets can only share what comes
+    # after the last of them. All members of a group have its prefix and size, so this holds for each pair of members.
+    most = "count(*) + least(na - max(pa), nb - max(pb)) - 1"
     groups = (
         left.join(right, "token")
         .where("ha < hb and not coalesce(la = lb, false)")
         .where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
+        .groupBy("ha", "hb", "na", "nb")
+        .agg(F.expr(most).alias("most"))
+        .where(f"{DEN + NUM} * most >= {NUM} * (na + nb)")
         .select("ha", "hb")
-        .distinct()
     )
     ours, theirs = (member.select(F.col("head").alias(f"h{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
     between = groups.join(ours, "ha").join(theirs, "hb").where("la <> lb").select("a", "b")
