@@ -19,7 +19,8 @@ put no spaces between words each character is a word.
 
 Defined cases: null and empty texts have no windows and leak nothing; null item ids are ignored as
 items; null document ids are reported under their text's hash. Repeated rows give repeated results.
-Only the id and text columns are read.
+Only the id and text columns are read, and those in ``keep``, whose names must differ from the results'.
+Empty tables give no rows or no leaks; a text of any length is searched whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ size is fixed. Any order gives the same result; a coarse one only costs more can
 Defined cases: documents without words, empty or null texts have an empty set, link with nothing and
 are their own component. Component ids ignore null document ids; a component of null ids only has a
 null id. Rows that repeat an id or a text are rows of the same node. Only the id and text columns are
-read.
+read, so others may have any name. An empty table gives no rows; a text of any length is taken whole.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ of blocks are separate groups. Nothing is capped.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing, as do vectors of different lengths; null ids count as links of others and are never a
 component's name unless all its ids are null. Rows that repeat an id and vector are separate vectors.
+Further columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

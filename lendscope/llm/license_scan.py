@@ -8,7 +8,8 @@ diagonal is there; a span of a longer template counts if it covers ``MIN_COVER``
 are the k-grams because the shortest phrases are two words long.
 
 The broadcast side is the fixed template table. Defined cases: null texts count as empty; rows that
-repeat an id and a text get the same result; null ids are kept; further columns are not read.
+repeat an id and a text get the same result; null ids are kept; further columns, whatever their names,
+are not read; an empty table gives no rows; a text of any length is split whole in its own row.
 """
 
 from __future__ import annotations

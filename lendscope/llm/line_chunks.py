@@ -11,7 +11,8 @@ is kept at an earlier place, though its neighbours there may differ.
 
 Defined cases: a null text counts as empty, which is one empty line; ids may be null (they sort
 last) and rows with the same id and text count as one document, each keeping what it keeps. Only
-the id and text columns are read.
+the id and text columns are read, and those in ``keep``, whose names must differ from the results'. An
+empty table gives no rows; a text of any length is taken whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ packing costs no shuffle. Step groups are counted in each task alone and are not
 corpus: sequence k of a tier in a task belongs to step ``k * size // STEP_TOKENS``.
 
 Defined cases: a null text counts as empty and yields the end id alone; ids may be null or repeat,
-each row is its own document. Only the id and text columns are read.
+each row is its own document. Only the id and text columns are read, so others may have any
+name. An empty table gives no pieces; a text of any length is cut into as many as it needs.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ so scoring runs in the scan stage without Python or shuffles.
 Defined cases: a null text counts as empty; a text without words has all statistics 0. Rows with
 null ids are scored but never learnt from, and so are labels of other values than 0 and 1. Of
 several labels of one id the largest counts. With fewer than two classes among the labels the
-score is their smoothed mean for every row. Only the id and text columns are read, so further
-columns do no harm; repeated rows give repeated, equal results.
+score is their smoothed mean for every row. Only the id and text columns are read, and those in ``keep``, whose
+names must differ from the results'; repeated rows give repeated, equal results. An empty table gives no
+rows; statistics are of whole texts of any length.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ that hold the blob. A task drops its own repeats of a blob before the shuffle, s
 of all rows share travels once per task, and the join back carries addresses, not texts.
 
 Defined cases: a null text counts as empty; null ids, repeated rows and repeated ids all keep their
-rows; further columns are not read. Positions count code points, ends are exclusive.
+rows; further columns, whatever their names, are not read. Positions count code points, ends are exclusive. An
+empty table gives no rows; a text of any length is scanned whole, in time that grows with its square only
+where one run of token characters fills it.
 """
 
 from __future__ import annotations
