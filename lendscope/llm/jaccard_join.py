@@ -8,10 +8,12 @@ where their last common prefix shingle stands, expanded to members, filtered by
 on the symmetric difference (parity bitmaps), and then verified on whole sets, recomputed from the
 texts of the nodes concerned.
 
-Copies by the thousand need no pairs by the square: in two rounds every node is first compared with
-one leader, the one it shares most prefix shingles with. What that links is connected already, so the
-last, complete round only takes pairs whose ends are not connected yet. No link between components is
-lost: every candidate pair is either verified or lies within a component.
+Copies by the thousand need no pairs by the square: in a first few rounds every prefix shingle has one
+node drawn as its leader, and every node is compared with the leaders it shares most shingles with.
+Where many nodes share a shingle, rounds go on with other draws as long as they connect many. What they
+link is connected already, so the last, complete round only takes pairs whose ends are not connected
+yet. No link between components is lost: every candidate pair is either verified or lies within a
+component.
 
 The order comes from a table of 2^20 counters over the hashes of all shingles, merged per task, so its
 size is fixed. Any order gives the same result; a coarse one only costs more candidates.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -38,7 +40,10 @@ SHINGLE = 5
 #: Similarity of at least NUM / DEN links.
 NUM, DEN = 80, 100
 COUNTERS = 1 << 20
-STAR_ROUNDS = 2
+#: Rounds of leaders; further ones follow on shingles of over MANY heads while at least one in STILL pairs links.
+STAR_ROUNDS, STILL, MANY = 2, 20, 16
+#: Leaders that a node is compared with in a round.
+LEADERS = 3
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -183,20 +188,8 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     return out
 
 
-def near_labels(edges: DataFrame) -> DataFrame:
-    """``head``, ``label``: a connected node with a smaller number, where there is one; two hops at most.
-
-    Equal labels prove a connection, different ones prove nothing.
-    """
-    to = stored(edges.groupBy(F.greatest("a", "b").alias("head")).agg(F.min(F.least("a", "b")).alias("label")))
-    onward = to.select(F.col("head").alias("label"), F.col("label").alias("next"))
-    out = stored(to.join(onward, "label", "left").select("head", F.coalesce("next", "label").alias("label")))
-    discard(to)
-    return out
-
-
 def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
-    """Links found by comparing with leaders, and what the complete round needs."""
+    """Components of the links found by comparing with leaders, and what the complete round needs."""
     full = profile.where("node is not null")
     owners = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     # One row per node; equal sets have equal prefixes and bitmaps.
@@ -213,27 +206,47 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
     whole = rows = stored(tokens.join(shared, "token"))  # only shingles that meet another group
     members = group.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = verified(filtered(members, nodes), docs, owners)
-    for k in range(STAR_ROUNDS):
-        if k == 0:
-            labelled = rows.withColumn("label", F.col("head"))
-        else:
-            at = near_labels(found)
-            labelled = rows.join(at, "head", "left").withColumn("label", F.coalesce("label", "head"))
-            # A bucket whose heads are connected already has no leader left to try. The complete round takes the
-            # whole rows: members that their head did not connect can still have links in such a bucket.
-            mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-            rows = stored(labelled.join(mixed, "token").select("token", "head", "n"))
-            labelled = rows.join(at, "head", "left").withColumn("label", F.coalesce("label", "head"))
-        lead = labelled.groupBy("token").agg(F.min(F.struct("label", "head")).alias("lead"))
+    at = components(found).withColumnRenamed("id", "node")
+    compared, links, k = 0, 0, 0
+    while k <= STAR_ROUNDS or links * STILL > compared:
+        of_head = at.withColumnRenamed("node", "head")
+        labelled = rows.join(of_head, "head", "left").withColumn("label", F.coalesce("label", "head"))
+        # A bucket whose heads are connected already has no leader left to try. The complete round takes the
+        # whole rows: members that their head did not connect can still have links in such a bucket.
+        mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
+        mixed = mixed.where(F.expr("x <> y") & (F.col("m") > (0 if k < STAR_ROUNDS else MANY))).select("token")
+        last, rows = rows, stored(rows.join(mixed, "token").select("token", "head", "n"))
+        labelled = rows.join(of_head, "head", "left").withColumn("label", F.coalesce("label", "head"))
+        draw = F.struct(F.xxhash64("token", "head", F.lit(k)).alias("order"), "label", "head")
+        lead = labelled.groupBy("token").agg(F.min(draw).alias("lead"))
         star = (
             labelled.join(lead, "token")
             .where("label <> lead.label")
             .groupBy(F.col("head").alias("a"), F.col("lead.head").alias("b"))
             .agg(F.count("*").alias("shared"))
         )
-        best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        found = stored(found.union(verified(filtered(best, nodes), docs, owners)))
-    return found, whole, group, nodes, owners
+        closest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+        best = stored(star.withColumn("place", closest).where(F.col("place") <= LEADERS).select("a", "b"))
+        new = verified(filtered(best, nodes), docs, owners)
+        compared, links, k = best.count(), new.count(), k + 1
+        old, found = found, stored(found.union(new))
+        discard(best, new, old, *([last] if last is not whole else []))
+        at = components(found).withColumnRenamed("id", "node")
+        if not compared and k > STAR_ROUNDS:
+            break
+    return at, whole, group, nodes, owners
+
+
+def live_positions(rows: DataFrame) -> DataFrame:
+    """``rows`` (``token``, ``head``, ``n``, ``pos``) with ``pos`` counted as if all other prefix shingles came first.
+
+    ``rank`` has the head's rows before it. What no row has is shared with no group that is still to be compared, so
+    it stands in the order before all that may be, like any rarer shingle.
+    """
+    mine = Window.partitionBy("head")
+    length = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")
+    ranked = rows.withColumns({"rank": F.row_number().over(mine.orderBy("pos")) - 1, "live": F.count("*").over(mine)})
+    return ranked.withColumn("pos", length - F.col("live") + F.col("rank")).drop("live")
 
 
 def rest_edges(docs, at, rows, group, nodes, owners) -> DataFrame:
@@ -246,18 +259,19 @@ def rest_edges(docs, at, rows, group, nodes, owners) -> DataFrame:
     mixed = marked.groupBy("token").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("label").isNull()).alias("open")
     ).where("x <> y or open or x is null").select("token")
-    marked = stored(marked.join(mixed, "token"))
+    marked = stored(live_positions(marked.join(mixed, "token")))
     left, right = (
-        marked.select("token", F.col("pos").alias(f"p{x}"), F.col("head").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+        marked.select("token", F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("head").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
         for x in "ab"
     )
     # Prefixes follow the global order, so beyond the shared prefix shingles two sets can only share what comes
-    # after the last of them. All members of a group have its prefix and size, so this holds for each pair of members.
+    # after the last of them, and before any of them only what may be shared at all. All members of a group have its prefix and size, so this holds for each pair of members.
     most = "count(*) + least(na - max(pa), nb - max(pb)) - 1"
     groups = (
         left.join(right, "token")
         .where("ha < hb and not coalesce(la = lb, false)")
         .where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
+        .where(f"{DEN + NUM} * (least(ra, rb) + least(na - pa, nb - pb)) >= {NUM} * (na + nb)")
         .groupBy("ha", "hb", "na", "nb")
         .agg(F.expr(most).alias("most"))
         .where(f"{DEN + NUM} * most >= {NUM} * (na + nb)")
@@ -278,8 +292,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profile = stored(profiles(docs))
-    found, rows, group, nodes, owners = star_edges(docs, profile)
-    at = components(found).withColumnRenamed("id", "node")
+    at, rows, group, nodes, owners = star_edges(docs, profile)
     rest = rest_edges(docs, at, rows, group, nodes, owners)
     # The last links connect components: contract them to labels.
     label = lambda x: F.coalesce(f"label_{x}", x).alias(x)
