@@ -205,7 +205,9 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     whole = rows = stored(tokens.join(shared, "token"))  # only shingles that meet another group
     members = group.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    found = verified(filtered(members, nodes), docs, owners)
+    close = stored(filtered(members, nodes))
+    found = verified(close, docs, owners)
+    discard(close)
     at = components(found).withColumnRenamed("id", "node")
     compared, links, k = 0, 0, 0
     while k <= STAR_ROUNDS or links * STILL > compared:
@@ -227,10 +229,12 @@ def star_edges(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, ...]:
         )
         closest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
         best = stored(star.withColumn("place", closest).where(F.col("place") <= LEADERS).select("a", "b"))
-        new = verified(filtered(best, nodes), docs, owners)
+        # Stored, so that it is filtered once and no task runs two Python workers.
+        close = stored(filtered(best, nodes))
+        new = verified(close, docs, owners)
         compared, links, k = best.count(), new.count(), k + 1
         old, found = found, stored(found.union(new))
-        discard(best, new, old, *([last] if last is not whole else []))
+        discard(best, close, new, old, *([last] if last is not whole else []))
         at = components(found).withColumnRenamed("id", "node")
         if not compared and k > STAR_ROUNDS:
             break
