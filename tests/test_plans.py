@@ -1,6 +1,7 @@
 """Invariants of the composed plans and the shape of their physical plans."""
 
 import random
+import threading
 from dataclasses import replace
 
 import pytest
@@ -153,6 +154,42 @@ def test_a_stored_fit_is_read_back(views, monkeypatch):
     assert model.fit_key(fewer, small) != model.fit_key(tables, small)
 
 
+def test_a_fit_cut_short_goes_on(views, monkeypatch):
+    calls, done, built = [], [], []
+    fit, assembled = model._fit, model.assembled
+
+    def failing(rows, settings):
+        calls.append(settings)
+        if len(calls) == 3:
+            raise RuntimeError("cut short")
+        done.append(fit(rows, settings))
+        return done[-1]
+
+    monkeypatch.setattr(model, "_fit", failing)
+    monkeypatch.setattr(model, "assembled", lambda features: built.append(1) or assembled(features))
+    small = ForestSettings(trees=2, depth=2, subsample=0.8 + random.random() / 20)
+    with pytest.raises(RuntimeError, match="cut short"):
+        CrossValidation.stored(_tables(views), small)
+    assert 2 <= len(done) < model.FOLDS
+    again = CrossValidation.stored(_tables(views), small)
+    assert (len(done), len(built)) == (model.FOLDS, 1)
+    assert again.out_of_fold().count() == views.train().count()
+
+
+def test_folds_run_at_the_same_time_under_the_callers_properties(spark):
+    spark.sparkContext.setLocalProperty("lendscope.test", "caller")
+    meet = threading.Barrier(model.PARALLEL_FITS, timeout=60)
+    together = model.FOLDS - model.FOLDS % model.PARALLEL_FITS
+
+    def step(fold):
+        if fold < together:
+            meet.wait()
+        return fold, spark.sparkContext.getLocalProperty("lendscope.test")
+
+    assert model._per_fold(spark, step) == [(fold, "caller") for fold in range(model.FOLDS)]
+    spark.sparkContext.setLocalProperty("lendscope.test", None)
+
+
 def test_audit_finds_faults(spark):
     rows = [(0, 1, [0.5, 0.5]), (0, 1, [0.5, 0.6]), (1, 2, [1.0])]
     scored = spark.createDataFrame(rows, "fold int, listing_id long, probabilities array<double>")
