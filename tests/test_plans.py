@@ -190,6 +190,15 @@ def test_folds_run_at_the_same_time_under_the_callers_properties(spark):
     spark.sparkContext.setLocalProperty("lendscope.test", None)
 
 
+def test_the_assembling_projection_gets_compiled(spark, features):
+    """The JVM leaves methods beyond 8,000 bytes to its interpreter."""
+    vectors = model.assembled(features.withColumn("fold", F.lit(0)))
+    vectors.collect()
+    plan = vectors._jdf.queryExecution().executedPlan()
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    assert max([stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())], default=0) < 8000
+
+
 def test_audit_finds_faults(spark):
     rows = [(0, 1, [0.5, 0.5]), (0, 1, [0.5, 0.6]), (1, 2, [1.0])]
     scored = spark.createDataFrame(rows, "fold int, listing_id long, probabilities array<double>")
