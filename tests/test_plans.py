@@ -12,6 +12,7 @@ from lendscope.catalog import QUERIES, _fact, _tables
 from lendscope.oracle import ORACLE
 from lendscope.plans import behaviour, facts, feature_table, history, metrics, model, tiers
 from lendscope.plans.model import CrossValidation, ForestSettings
+from lendscope.sources.lending_views import READS, STAR_SCHEMAS, LendingViews
 
 
 @pytest.fixture(scope="module")
@@ -190,6 +191,39 @@ def test_folds_run_at_the_same_time_under_the_callers_properties(spark):
     spark.sparkContext.setLocalProperty("lendscope.test", None)
 
 
+def test_the_fit_key_joins_nothing(views):
+    """Views count by the stored tables that they read, and READS names all of those."""
+    tables = _tables(views)
+    assert tables.named().keys() == READS.keys()
+    for frame in tables.named().values():
+        stored = tables.made_of(frame)
+        assert sorted(frame.inputFiles()) == sorted(f for df in stored for f in df.inputFiles())
+        for df in stored:
+            assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_fit_key_follows_the_rows(spark, views, small_dir, tmp_path):
+    def key(folder, **changed):
+        for name in STAR_SCHEMAS.keys() - {"events"}:
+            rows = spark.read.parquet(f"{small_dir}/{name}.parquet").repartition(3)
+            changed.get(name, lambda df: df)(rows).write.parquet(f"{folder}/{name}.parquet")
+        return model.fit_key(_tables(LendingViews(spark, str(folder))), ForestSettings())
+
+    own = model.fit_key(_tables(views), ForestSettings())
+    assert key(tmp_path / "moved") == own
+    dearer = F.when(F.col("l_orderkey") == 7, F.col("l_extendedprice") + 0.01).otherwise(F.col("l_extendedprice"))
+    keys = {
+        own,
+        key(tmp_path / "dearer", lineitem=lambda df: df.withColumn("l_extendedprice", dearer)),
+        key(tmp_path / "fewer", customer=lambda df: df.filter("c_custkey <> 1")),
+        key(tmp_path / "twice", part=lambda df: df.union(df.filter("p_partkey = 1"))),
+    }
+    tables = _tables(views)
+    for name, df in tables.named().items():
+        keys.add(model.fit_key(replace(tables, **{name: df.limit(0)}), ForestSettings()))
+    assert len(keys) == 4 + len(READS)
+
+
 def test_the_assembling_projection_gets_compiled(spark, features):
     """The JVM leaves methods beyond 8,000 bytes to its interpreter."""
     vectors = model.assembled(features.withColumn("fold", F.lit(0)))
